@@ -10,7 +10,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 # The kernels travel with the plan, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
@@ -85,15 +86,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about `limit` bytes each; a longer row stands alone."""
+def slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of at most `rows` rows with about `limit` bytes each; a longer row stands alone."""
     if not len(column):
         return
     _, offsets = text_bytes(column)
     start = 0
     while start < len(column):
         stop = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
-        stop = min(max(stop, start + 1), len(column))
+        stop = min(max(stop, start + 1), start + rows, len(column))
         yield start, stop
         start = stop
 
@@ -159,6 +160,28 @@ def labelled(hashes: np.ndarray) -> np.ndarray:
     return np.where(occurrence > 0, mix(hashes + occurrence * np.uint64(_GOLDEN)), hashes)
 
 
+def with_struct(df: DataFrame, text_col: str, name: str, fields: str, kernel: Callable[[pa.Array], list], *, keep: list[str] | None = None, rows: int = 1 << 30) -> DataFrame:
+    """Columns `keep` of df (all of them by default) and a struct of `fields` that kernel finds from slices of whole texts.
+
+    kernel gets a string array without nulls (null texts are empty) and returns an array for each field.
+    """
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() != name.lower()]
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    text = free_name(df, "text")
+    taken = df.select(*map(quoted, keep), F.col(quoted(text_col)).cast("string").alias(text))
+    schema = StructType([*taken.schema.fields[:-1], StructField(name, StructType.fromDDL(fields))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = as_text(batch.column(batch.num_columns - 1))
+            for start, stop in slices(whole, rows=rows):
+                found = kernel(whole.slice(start, stop - start))
+                own = pa.StructArray.from_arrays(found, names=[f.name for f in schema[name].dataType])
+                yield pa.RecordBatch.from_arrays([*(c.slice(start, stop - start) for c in batch.columns[:-1]), own], names=schema.names)
+
+    return taken.mapInArrow(run, schema)
+
+
 # ---------------------------------------------------------------- components
 
 
