@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_mixture
+from . import cube_mixing, language_mixture, qgram_decontamination
 from .common import held_out
 from .order_minhash import near_duplicates
 
@@ -27,9 +27,22 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", "language.languages")
 
 
+def op8_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = cube_mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each place of a benchmark item in a document."""
+    found = qgram_decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_order_minhash": op3_order_minhash,
     "op7_language_mixture": op7_language_mixture,
+    "op8_cube_mixing": op8_cube_mixing,
+    "op9_qgram_decontamination": op9_qgram_decontamination,
 }
 
 SQL: dict[str, str] = {}
