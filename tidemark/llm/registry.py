@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube_mixing, language_mixture, qgram_decontamination
+from . import cube_mixing, knn_quality, language_mixture, qgram_decontamination
 from .common import held_out
 from .order_minhash import near_duplicates
 
@@ -20,6 +20,13 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    voters = knn_quality.fit(docs, labels.where(~held_out(F.col("doc_id"))))
+    found = knn_quality.score(docs, voters, keep=["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "quality.score", (F.col("quality.score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_mixture.fit(docs.where(~held_out(F.col("doc_id"))))
@@ -40,6 +47,7 @@ def op9_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_order_minhash": op3_order_minhash,
+    "op5_knn_quality": op5_knn_quality,
     "op7_language_mixture": op7_language_mixture,
     "op8_cube_mixing": op8_cube_mixing,
     "op9_qgram_decontamination": op9_qgram_decontamination,
