@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube_mixing, knn_quality, language_mixture, qgram_decontamination
+from . import cube_mixing, knn_quality, language_mixture, qgram_decontamination, url_sweep, warc
 from .common import held_out
 from .order_minhash import near_duplicates
 
@@ -20,6 +20,11 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
     voters = knn_quality.fit(docs, labels.where(~held_out(F.col("doc_id"))))
@@ -27,6 +32,22 @@ def op5_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "quality.score", (F.col("quality.score") >= 0.3).cast("int").alias("predicted"))
 
 
+#: host, path, verdict
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op6_url_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = url_sweep.judge(_table(spark, sf_dir, "pages"), rules, keep=["page_id"])
+    return judged.select("page_id", "rule_match.*")
+
+
 def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_mixture.fit(docs.where(~held_out(F.col("doc_id"))))
@@ -47,10 +68,40 @@ def op9_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_order_minhash": op3_order_minhash,
+    "op4_warc": op4_warc,
     "op5_knn_quality": op5_knn_quality,
+    "op6_url_sweep": op6_url_sweep,
     "op7_language_mixture": op7_language_mixture,
     "op8_cube_mixing": op8_cube_mixing,
     "op9_qgram_decontamination": op9_qgram_decontamination,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (
+          SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages
+        ), f AS (SELECT d, n, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d, n)
+        SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN f.first_id < p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN f.first_id < p.page_id THEN f.first_id END AS refers_to
+        FROM p LEFT JOIN f ON p.d = f.d AND p.n = f.n
+    """,
+    "op6_url_sweep": """
+        WITH r(h, t, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+          ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        a AS (
+          SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+          FROM pages
+        ), b AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM a),
+        c AS (
+          SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path
+          FROM b
+        ), m AS (
+          SELECT c.page_id, c.host, c.path, r.h || r.t AS rule, r.v,
+                 row_number() OVER (PARTITION BY c.page_id ORDER BY length(r.h || r.t) DESC NULLS LAST, length(r.h) DESC) AS k
+          FROM c LEFT JOIN r ON (c.host = r.h OR ends_with(c.host, '.' || r.h)) AND starts_with(c.path, r.t)
+        )
+        SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1
+    """,
+}
