@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube_mixing, knn_quality, language_mixture, qgram_decontamination, quality_rules, url_sweep, warc
+from . import cube_mixing, knn_quality, language_mixture, license_index, qgram_decontamination, quality_rules, url_sweep, warc
 from .common import held_out
 from .order_minhash import near_duplicates
 
@@ -21,6 +21,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed", ",").alias("failed"), "level")
 
 
+def op2_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_index.summary(license_index.scan(_table(spark, sf_dir, "documents")))
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ def op9_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_license_index": op2_license_index,
     "op3_order_minhash": op3_order_minhash,
     "op4_warc": op4_warc,
     "op5_knn_quality": op5_knn_quality,
