@@ -11,8 +11,10 @@ copy. Classes are the connected components of the links.
 Hot groups. Texts with equal words are one node from the first aggregation on. Buckets are never
 expanded into pairs: a round compares every member with one leader of its bucket, then components are
 found and buckets that lie within one component are done. After `rounds` rounds, the members outside
-a bucket's largest component are compared with all others of the bucket, in blocks of `block`
-members, inside tasks that return one link for each merge. No bucket has a cap, no pair of different
+a bucket's largest component are compared with all others of the bucket, in pairs of blocks of bounded
+size, inside tasks that return one link for each merge. Texts more than a fifth of whose k-mers occur in no
+other text of such buckets are left out before, since they cannot be linked to any (similarity 0.8
+of two sets means that each shares 0.8 of its elements). No bucket has a cap, no pair of different
 components in a bucket is left out.
 
 Defined cases: a null or empty text is a class of its own row's doc_id; a text without words is a
@@ -34,7 +36,9 @@ from pyspark.sql import functions as F
 
 from .common import as_text, components, labelled, mix, shingle_hashes, slices, stored, text_bytes, word_hashes
 
-K, SIMILARITY, SKETCHES, PICKS, ROUNDS, BLOCK = 5, 0.8, 20, 3, 2, 256
+K, SIMILARITY, SKETCHES, PICKS, ROUNDS = 5, 0.8, 20, 3, 2
+#: Texts, and words of texts, in one side of a pair of blocks.
+BLOCK, BLOCK_WORDS = 1024, 2_000_000
 
 
 def sketch(labels: np.ndarray, kmers: np.ndarray, odd: np.ndarray, picks: int) -> np.ndarray:
@@ -167,7 +171,14 @@ def _blocks(k: int, least: float):
 
         found = []
         left, right = ([i for i, s in enumerate(side) if s == w] for w in (0, 1))
+        pool = np.unique(np.concatenate([np.zeros(0, np.uint64), *(texts[j][1] for j in right if side[j] == 1)]))
         for i in left:
+            own = texts[i][1]
+            at = np.searchsorted(pool, own)
+            at[at == len(pool)] = 0
+            # the text itself may be on both sides: then this bound holds for nothing, and pairs are compared
+            if not len(pool) or (pool[at] == own).sum() < least * len(own) - 1e-9:
+                continue
             for j in right:
                 if top(root[i]) != top(root[j]) and linked(texts[i][0], texts[j][0], texts[i][1], texts[j][1], least):
                     parent[top(root[i])] = top(root[j])
@@ -218,18 +229,37 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return grouped.unionAll(alone)
 
 
+def _alone(k: int):
+    schema = pa.schema([("label", pa.int64()), ("node", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (node, packed) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                labels = _words(packed, k)[1].view(np.int64)
+                yield pa.record_batch([pa.array(labels), pa.array([node] * len(labels), pa.binary())], schema=schema)
+
+    return run
+
+
 def _rest(rows: DataFrame, words: DataFrame, k: int, similarity: float, block: int) -> DataFrame:
     """Members outside their bucket's largest component against all others of the bucket, in pairs of blocks."""
     bucket = ["band", "key"]
-    counts = rows.groupBy(*bucket, "root").agg(F.count("*").alias("n"))
-    main = counts.groupBy(*bucket).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("few"))
-    split = lambda n: F.ceil(F.col(n) / block).cast("int")
+    rows = stored(rows, "omh-mixed")
+    own = words.join(rows.select("node").distinct(), "node", "left_semi")
+    once = own.mapInArrow(_alone(k), "label long, node binary").groupBy("label").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    length = F.octet_length("words") / 4
+    able = own.withColumn("length", length).join(once, "node", "left").where(F.coalesce("alone", F.lit(0)) <= (1 - similarity) * F.greatest(F.lit(1), F.col("length") - k + 1) + 1e-9).select("node", "words", "length")
+    able = stored(able, "omh-able")
+    rows = rows.join(able.select("node", "length"), "node")
+    counts = rows.groupBy(*bucket, "root").agg(F.count("*").alias("n"), F.sum("length").alias("w"))
+    main = counts.groupBy(*bucket).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("few"), F.sum("w").alias("all_w"), (F.sum("w") - F.max_by("w", F.struct("n", "root"))).alias("few_w")).where("few > 0")
+    split = lambda n: F.ceil(F.greatest(F.col(n) / block, F.col(f"{n}_w") / BLOCK_WORDS)).cast("int")
     rows = rows.join(main, bucket).withColumns({"lb": split("few"), "rb": split("all"), "h": F.abs(F.xxhash64("node"))})
-    own = lambda n: (F.col("h") % F.col(n)).cast("int")
+    part = lambda n: (F.col("h") % F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.where("root <> main").select(*bucket, own("lb").alias("i"), every("rb").alias("j"), F.lit(0).alias("side"), "root", "node")
-    right = rows.select(*bucket, every("lb").alias("i"), own("rb").alias("j"), F.lit(1).alias("side"), "root", "node")
-    sides = left.unionAll(right).join(words, "node")
+    left = rows.where("root <> main").select(*bucket, part("lb").alias("i"), every("rb").alias("j"), F.lit(0).alias("side"), "root", "node")
+    right = rows.select(*bucket, every("lb").alias("i"), part("rb").alias("j"), F.lit(1).alias("side"), "root", "node")
+    sides = left.unionAll(right).join(able.select("node", "words"), "node")
     return sides.groupBy(*bucket, "i", "j").applyInArrow(_blocks(k, similarity), "a binary, b binary")
 
 
