@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube_mixing, knn_quality, language_mixture, license_index, qgram_decontamination, quality_rules, url_sweep, warc
+from . import cube_mixing, knn_quality, language_mixture, license_index, qgram_decontamination, quality_rules, secret_forest, url_sweep, warc
 from .common import held_out
 from .order_minhash import near_duplicates
 
@@ -75,6 +75,12 @@ def op9_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each candidate, with the forest's verdict."""
+    found = secret_forest.find(_table(spark, sf_dir, "documents"), secret_forest.train(spark), keep=["doc_id"])
+    return found.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.start", "f.value", "f.probability", "f.secret")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_index": op2_license_index,
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_mixture": op7_language_mixture,
     "op8_cube_mixing": op8_cube_mixing,
     "op9_qgram_decontamination": op9_qgram_decontamination,
+    "op10_secret_forest": op10_secret_forest,
 }
 
 SQL: dict[str, str] = {
