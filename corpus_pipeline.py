@@ -1,20 +1,61 @@
-"""A corpus cleaned from end to end: each stage calls one operator, and works on what the stage before it kept."""
+"""A corpus cleaned from end to end: each stage calls one operator and works on all that the stage before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
-from tidemark.llm.order_minhash import representatives
+from tidemark.llm import cube_mixing, language_mixture, order_minhash, qgram_decontamination, secret_forest
+from tidemark.llm.common import free_name, held_out, stored
 
+#: A document goes if the language with the largest part in it has less than this.
+LEAST_SHARE = 0.5
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def _named(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*("`" + c.replace("`", "``") + "`" for c in columns))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or without a language that has half of the text, go."""
+    model = language_mixture.fit(docs.where(~held_out(F.col("doc_id"))))
+    name = free_name(docs, "language")
+    found = language_mixture.detect(docs, model, out=name)
+    return _named(found.where((F.col(f"{name}.lang") != "und") & (F.col(f"{name}.score") >= LEAST_SHARE)), docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return representatives(docs)
+    return order_minhash.representatives(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    name = free_name(docs, "leaks")
+    found = qgram_decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out=name)
+    return _named(found.where(F.size(name) == 0), docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Confirmed secrets are masked in the text, and n_chars follows; all documents stay."""
+    name = free_name(docs, "findings")
+    found = secret_forest.find(docs, secret_forest.train(spark), out=name)
+    clean = found.withColumn("text", secret_forest.redact(F.col("text"), F.col(name)))
+    masked = F.exists(name, lambda f: f["secret"])
+    return _named(clean.withColumn("n_chars", F.when(masked, F.length("text").cast("long")).otherwise(F.col("n_chars"))), docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, with copies: how often each stands in it."""
+    return cube_mixing.taken(docs)
 
 
 STAGES = [
-    ("near_duplicates", near_duplicates),
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("source_mix", source_mix),
 ]
 
 #: SQL cannot express sketches, alignments, learned models or balanced sampling.
@@ -22,6 +63,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
