@@ -1,0 +1 @@
+"""Change-data workloads and incremental lake tables on Spark DataFrames."""
