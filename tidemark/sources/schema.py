@@ -21,4 +21,4 @@ def change_schema(columns: int) -> StructType:
 
 
 def ddl(schema: StructType) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return ", ".join("`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString() for f in schema)
