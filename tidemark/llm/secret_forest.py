@@ -141,7 +141,9 @@ def labelled_findings(seed: int = SEED, each: int = 250) -> list[tuple[str, str,
         rows.append(("_".join(word() for _ in range(4)) + pick(string.digits, 1), (prose() + draw.choice(["", "token = ", "import "]))[-BEFORE:], "\n", path(), 0))
         rows.append(("/".join([word(), word(), word() + pick(string.digits, 2), word()]), prose()[-BEFORE:], "\n", path(), 0))
         rows.append((draw.choice(["x" * 20 + "1", "1234567890123456", "your-api-token-here1", "example-secret-value-0", "0" * 32]), (prose() + secret() + join())[-BEFORE:], "\"", path(), 0))
-        rows.append((pick(alnum, 20) + "1", (prose() + secret() + join())[-BEFORE:], "\"", draw.choice(EXAMPLE_PATHS) + "/" + word(), 0))
+        shapes = [pick(alnum, 20) + "1", pick(hexes, draw.choice([32, 40, 64])), pick(base64, 32) + "4=", "AKIA" + pick(alnum, 24) + "1"]
+        for value in shapes:
+            rows.append((value, (prose() + secret() + join())[-BEFORE:], "\"", draw.choice(EXAMPLE_PATHS) + "/" + word(), 0))
         rows.append((pick(hexes, draw.choice([32, 40])), prose()[-BEFORE:], " " + word(), path(), 0))
     return rows
 
