@@ -216,6 +216,11 @@ def revisits(listing: DataFrame, least: int = LEAST) -> DataFrame:
     return same.select("archive", "place", F.col("first.page_id").alias("refers_to"), F.col("first.record_id").alias("refers_id"))
 
 
+def _tasks(archives: int) -> int:
+    """Partitions for so many archives: about one each, until tasks would be too many to schedule."""
+    return max(1, min(2 * archives, 20_000))
+
+
 def normalise(listing: DataFrame, folder: str, target: str, *, least: int = LEAST, level: int = LEVEL) -> DataFrame:
     """Normalised archives and sidecars in `target`; returns the stored names of the archives with their numbers of records.
 
@@ -240,6 +245,8 @@ def normalise(listing: DataFrame, folder: str, target: str, *, least: int = LEAS
                 n += 1
         return pa.table({"archive": pa.array([made], pa.string()), "records": pa.array([n], pa.int64())})
 
+    # rows are few and small but each archive is much work: a stated number of partitions is never coalesced
+    todo = todo.repartition(_tasks(marks.count()), "archive")
     return stored(todo.groupBy("archive").applyInArrow(run, "archive string, records long"), "warc-archives")
 
 
@@ -264,8 +271,7 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
                             rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    # one archive is one piece of work, whatever listed it
-    spread = archives.select("archive").repartition(F.col("archive"))
+    spread = archives.select("archive").repartition(_tasks(archives.count()), "archive")
     return spread.mapInArrow(run, "page_id long, uri string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
