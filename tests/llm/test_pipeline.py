@@ -92,10 +92,10 @@ def test_queries_are_registered(spark):
 
     names = entry.queries()
     assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
-    assert {"op4_warc", "op6_url_sweep"} <= set(entry.oracle_sql())
+    assert {"op2_license_index", "op4_warc", "op6_url_sweep"} <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", ["op4_warc", "op6_url_sweep"])
+@pytest.mark.parametrize("name", ["op2_license_index", "op4_warc", "op6_url_sweep"])
 def test_sql(spark, name):
     import duckdb
 
@@ -103,7 +103,8 @@ def test_sql(spark, name):
 
     data = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{data}/pages.parquet'")
+    for t in ("pages", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     expected = con.execute(SQL[name]).fetchall()
     columns = [c[0] for c in con.description]
     assert sorted(map(tuple, QUERIES[name](spark, data).select(*columns).collect()), key=repr) == sorted(expected, key=repr)

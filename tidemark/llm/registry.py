@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import cube_mixing, knn_quality, language_mixture, license_index, qgram_decontamination, quality_rules, secret_forest, url_sweep, warc
 from .common import held_out
+from .license_sql import license_sql
 from .order_minhash import near_duplicates
 
 
@@ -95,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_license_index": license_sql(),
     "op4_warc": """
         WITH p AS (
           SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages
