@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.merge import MergeMode, MergeSpec
+from tidemark.plans import workloads
 from tidemark.plans.config import GeneratorConfig, KeyType, LoaderConfig, OperationType, StorageFormat, UpdatePattern, WriteMode
 from tidemark.plans.datagen import ChangeDataGenerator
 from tidemark.plans.loader import IncrementalLoader
+from tidemark.plans.staged import insert_staged, merge_staged, run_sql, stage_round
 from tidemark.sources.files import load_doubles, load_longs, read_history, read_round, round_exists
 from tidemark.sources.schema import change_schema
 from tidemark.sources.snapshot import CommitConflict, SnapshotTable
@@ -220,3 +222,29 @@ def test_text_lists(tmp_path):
     (tmp_path / "f").write_text("1.5\nx\n2\n")
     assert load_doubles(str(tmp_path / "f")) == [1.5, 2.0]
     assert load_longs(str(tmp_path / "f")) == [2]
+
+
+def test_shapes(spark, tmp_path):
+    f = workloads.fact(str(tmp_path / "f"), 2e-6, rounds=3, partitions=12, updated=4)
+    assert f.counts == [2000, 20, 20] and f.weights[2][:3] == [0.5, 0.5, 0.0] and f.columns == 40
+    made = ChangeDataGenerator(spark, f)
+    made.generate_workload()
+    later = read_round(spark, f.path, 1)
+    fresh = later.join(read_round(spark, f.path, 0).select("key"), "key", "left_anti")
+    assert later.count() == 20 and fresh.count() == 15 and {r.partition for r in fresh.select("partition").collect()} <= set(made.partitions[:2])
+    assert workloads.dimension("/x").counts[:2] == [100_000_000, 500_000] and workloads.dimension("/x").columns == 99
+    e = workloads.events("/x")
+    assert e.partitions == 1095 and e.weights[1][0] == 1.0 and e.updated == -1
+
+
+def test_staged_steps(spark, tmp_path, workload):
+    t = SnapshotTable(spark, str(tmp_path / "t"))
+    for r in range(3):
+        staged = stage_round(spark, workload.path, r, change_schema(16))
+        for _ in range(2):  # a repeated step changes nothing
+            if r == 0 and not t.exists():
+                insert_staged(t, staged, r)
+            elif r:
+                merge_staged(t, staged, r)
+    assert rows(t.read()) == expected(spark, workload)
+    assert run_sql(spark, "SELECT count(*) AS n FROM stage_1").first().n == 100
