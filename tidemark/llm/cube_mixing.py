@@ -132,10 +132,16 @@ def _fly(seed: int, last: bool):
         table = table.sort_by([("text_key", "ascending"), ("doc_id", "ascending")])
         share, rows, words = (table.column(c).to_numpy().astype(float) for c in ("share", "n", "words"))
         draw = np.random.default_rng([seed, len(words), int(np.bitwise_xor.reduce(table.column("text_key").to_numpy())) & 0x7FFFFFFF])
-        p = heavy_first(share, rows, words, draw)
-        open_ = np.flatnonzero((p > 0) & (p < 1))
-        if last:  # the last ones wait for the landing
-            open_ = open_[: max(0, len(open_) - LANDING)]
+        fly = np.arange(len(share))
+        if last and len(share) > LANDING:
+            # the landing keeps documents of usual size, which can make up for what is left open
+            usual = np.flatnonzero(words <= 4 * words.mean())[:LANDING]
+            fly = np.setdiff1d(fly, usual)
+        elif last:
+            fly = fly[:0]
+        p = share.copy()
+        p[fly] = heavy_first(p[fly], rows[fly], words[fly], draw) if len(fly) else p[fly]
+        open_ = fly[(p[fly] > 0) & (p[fly] < 1)]
         p[open_] = flight(p[open_].tolist(), rows[open_].tolist(), words[open_].tolist(), draw)
         if last:
             p = np.array(landing(p.tolist(), rows.tolist(), words.tolist()))
