@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -186,23 +186,27 @@ def with_struct(df: DataFrame, text_col: str, name: str, fields: str, kernel: Ca
 
 
 def components(links: DataFrame, label: str) -> DataFrame:
-    """Columns node and root (the least node of its component) for every node of links(a, b).
+    """Columns node and root (the least node of its component) for the nodes of links(a, b) that are not roots themselves.
 
     Alternating large-star and small-star rounds: each is a minimum per node, combined before the shuffle,
     and one join, so that a node with very many links is never gathered in one place. Every round is
-    written to the shared folder. Nodes without a link have no row.
+    written to the shared folder, with a checksum taken on the way that tells when nothing changes.
     """
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), f"{label}-links")
-    before = None
-    while True:
+
+    def put(edges: DataFrame, step: str) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        done = stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("hi", "lo")), F.lit(0)).alias("x")), f"{label}-{step}")
+        return done, (seen.get["n"], seen.get["x"])
+
+    edges, before = put(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links")
+    while before[0]:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         floor = large.groupBy("hi").agg(F.min("lo").alias("m"))
         hung = large.join(floor, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges = stored(hung.unionAll(floor.select("hi", F.col("m").alias("lo"))).distinct(), f"{label}-star")
-        seen = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x")).first()
-        if before == seen:
+        edges, now = put(hung.unionAll(floor.select("hi", F.col("m").alias("lo"))).distinct(), "star")
+        if now == before:
             break
-        before = seen
-    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(edges.select(F.col("lo").alias("node"), F.col("lo").alias("root"))).distinct()
+        before = now
+    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))

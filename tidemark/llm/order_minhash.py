@@ -31,6 +31,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +55,8 @@ def sketch(labels: np.ndarray, kmers: np.ndarray, odd: np.ndarray, picks: int) -
         key = np.full(len(ranks), take, np.uint64)
         for j in range(take):
             key = mix(key * np.uint64(3) + kmers[least[:, j]])
-        out[i : i + step] = key
+        # the order's number is in the hash, so that a bucket is named by it alone
+        out[i : i + step] = mix(key + np.arange(i, i + len(ranks), dtype=np.uint64))
     return out
 
 
@@ -114,9 +116,10 @@ def linked(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, least:
 
 
 def _fingerprints(k: int, sketches: int, picks: int, odd: np.ndarray):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.binary()), ("words", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.binary()), ("words", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 36
         for batch in batches:
             whole = as_text(batch.column(1))
             for start, stop in slices(whole):
@@ -135,7 +138,9 @@ def _fingerprints(k: int, sketches: int, picks: int, odd: np.ndarray):
                         node.append(blake2b(bare, digest_size=16, key=b"bare").digest() if bare else None)
                         keys.append(None)
                     kept.append((own >> np.uint64(32)).astype(np.uint32).tobytes())
-                yield pa.record_batch([batch.column(0).slice(start, stop - start), batch.column(2).slice(start, stop - start), pa.array(node, pa.binary()), pa.array(kept, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+                rows = pa.array(np.arange(uid, uid + stop - start))
+                uid += stop - start
+                yield pa.record_batch([rows, batch.column(0).slice(start, stop - start), batch.column(2).slice(start, stop - start), pa.array(node, pa.binary()), pa.array(kept, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -149,9 +154,9 @@ def _verify(k: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacked = lru_cache(maxsize=64)(lambda packed: _words(packed, k))
         for batch in batches:
-            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            keep = [i for i in range(len(a)) if linked(*(lambda p, q: (p[0], q[0], p[1], q[1]))(unpacked(x[i]), _words(y[i], k)), least)]
-            yield pa.record_batch([pa.array([a[i] for i in keep], pa.binary()), pa.array([b[i] for i in keep], pa.binary())], names=["a", "b"])
+            x, y = (batch.column(i).to_pylist() for i in (2, 3))
+            keep = [linked(*(lambda p, q: (p[0], q[0], p[1], q[1]))(unpacked(a), _words(b, k)), least) for a, b in zip(x, y, strict=True)]
+            yield batch.select(["ra", "rb"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -160,7 +165,7 @@ def _blocks(k: int, least: float):
     """Links between members of different components in one pair of blocks, one for each merge."""
 
     def run(table: pa.Table) -> pa.Table:
-        side, root, node, packed = (table.column(c).to_pylist() for c in ("side", "root", "node", "words"))
+        side, root, packed = (table.column(c).to_pylist() for c in ("side", "root", "words"))
         texts = [_words(p, k) for p in packed]
         parent = {r: r for r in root}
 
@@ -171,19 +176,27 @@ def _blocks(k: int, least: float):
 
         found = []
         left, right = ([i for i, s in enumerate(side) if s == w] for w in (0, 1))
-        pool = np.unique(np.concatenate([np.zeros(0, np.uint64), *(texts[j][1] for j in right if side[j] == 1)]))
+        # k-mers of all texts on the right, each with the texts that have it: counts what a text on the left shares with all at once
+        sizes = np.array([len(texts[j][1]) for j in right])
+        flat = np.concatenate([texts[j][1] for j in right])
+        order = np.argsort(flat, kind="stable")
+        holder = np.repeat(np.arange(len(right)), sizes)[order]
+        labels, starts = np.unique(flat[order], return_index=True)
+        starts = np.append(starts, len(flat))
         for i in left:
             own = texts[i][1]
-            at = np.searchsorted(pool, own)
-            at[at == len(pool)] = 0
-            # the text itself may be on both sides: then this bound holds for nothing, and pairs are compared
-            if not len(pool) or (pool[at] == own).sum() < least * len(own) - 1e-9:
-                continue
-            for j in right:
+            at = np.searchsorted(labels, own)
+            at[at == len(labels)] = 0
+            at = at[labels[at] == own]
+            many = starts[at + 1] - starts[at]
+            spots = np.repeat(starts[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            both = np.bincount(holder[spots], minlength=len(right))
+            near = np.flatnonzero(both >= least * (len(own) + sizes - both) - 1e-9)
+            for j in (right[n] for n in near[np.argsort(-both[near], kind="stable")]):
                 if top(root[i]) != top(root[j]) and linked(texts[i][0], texts[j][0], texts[i][1], texts[j][1], least):
                     parent[top(root[i])] = top(root[j])
-                    found.append((node[i], node[j]))
-        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+                    found.append((root[i], root[j]))
+        return pa.table({"ra": pa.array([a for a, _ in found], pa.int64()), "rb": pa.array([b for _, b in found], pa.int64())})
 
     return run
 
@@ -197,56 +210,57 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """near_duplicates() with text_key (xxhash64 of the text) and kept_key: the row of a class that stays has its class_id and kept_key."""
     odd = np.random.default_rng(20190724).integers(0, 1 << 63, sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    prints = stored(docs.mapInArrow(_fingerprints(k, sketches, picks, odd), "doc_id long, text_key long, node binary, words binary, keys array<bigint>"), "omh-prints")
-    nodes = stored(prints.where("keys is not null").groupBy("node").agg(F.first("keys").alias("keys")), "omh-nodes")
-    rows = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = stored(rows.join(sizes.select("band", "key"), ["band", "key"]), "omh-buckets")
-    shared = rows.select("node").distinct()
-    words = stored(prints.select("node", "words").join(shared, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "omh-words")
-
-    links, roots = None, None
+    prints = stored(docs.mapInArrow(_fingerprints(k, sketches, picks, odd), "uid long, doc_id long, text_key long, node binary, words binary, keys array<bigint>"), "omh-prints")
+    # texts with equal words are one node, named by the uid of one of them
+    nodes = prints.where("node is not null").groupBy("node").agg(F.min("uid").alias("rep"))
+    ids = stored(prints.select("uid", "node", "keys").join(nodes, "node").select("uid", "rep", F.when(F.col("uid") == F.col("rep"), F.col("keys")).alias("keys")), "omh-nodes")
+    rows = ids.where("keys is not null").select(F.col("rep").alias("node"), F.explode("keys").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    rows = stored(rows.join(shared, "bucket").select("bucket", "node", F.col("node").alias("root")), "omh-buckets")
+    words = stored(prints.select(F.col("uid").alias("node"), "words").join(rows.select("node").distinct(), "node", "left_semi"), "omh-words")
+
     for r in range(rounds + 1):
-        now = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         # a bucket within one component is done
-        mixed = now.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(r))).alias("leader")).where("x <> y").select("band", "key", "leader")
+        chance = F.xxhash64("node", F.lit(r))
+        mixed = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min_by("node", chance).alias("leader"), F.min_by("root", chance).alias("leader_root")).where("x <> y")
         if r < rounds:
-            pairs = now.join(mixed, ["band", "key"]).where("root <> leader.root").select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()
+            pairs = rows.join(mixed, "bucket").where("root <> leader_root").select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader_root").alias("ra"), F.col("root").alias("rb")).distinct()
             texts = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").join(words.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
-            new = texts.select("a", "b", "x", "y").mapInArrow(_verify(k, similarity), "a binary, b binary")
+            links = texts.select("ra", "rb", "x", "y").mapInArrow(_verify(k, similarity), "ra long, rb long")
         else:
-            new = _rest(now.join(mixed.select("band", "key"), ["band", "key"]), words, k, similarity, block)
-        new = stored(new, f"omh-links{r}")
-        links = new if links is None else links.unionAll(new)
-        roots = stored(components(links, f"omh{r}"), f"omh-roots{r}")
-        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-
-    whole = prints.select("doc_id", "text_key", "node").join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+            links = _rest(rows.join(mixed.select("bucket"), "bucket"), words, k, similarity, block)
+        # links are between roots, so each round's graph is that of the round before with its components shrunk to points
+        found = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")), f"omh{r}")
+        found = found.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        rows = stored(rows.join(found, "root", "left").select("bucket", "node", F.coalesce("top", "root").alias("root")), f"omh-rows{r}")
+
+    roots = rows.select(F.col("node").alias("rep"), "root").distinct()
+    grouped = ids.select("uid", "rep").join(roots, "rep", "left").select("uid", F.coalesce("root", "rep").alias("root"))
+    whole = prints.select("uid", "doc_id", "text_key").join(grouped, "uid", "left")
+    whole = whole.withColumn("root", F.coalesce("root", F.col("uid")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("class_id"), F.col("text_key").alias("kept_key")))
-    found = whole.where("root is not null").groupBy("root").agg(first.alias("first"), F.count("*").alias("class_size"))
-    grouped = whole.where("root is not null").join(found, "root").select("doc_id", "text_key", "first.class_id", "first.kept_key", "class_size")
-    alone = whole.where("root is null").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.col("text_key").alias("kept_key"), F.lit(1).cast("long").alias("class_size"))
-    return grouped.unionAll(alone)
+    found = whole.groupBy("root").agg(first.alias("first"), F.count("*").alias("class_size"))
+    return whole.join(found, "root").select("doc_id", "text_key", "first.class_id", "first.kept_key", "class_size")
 
 
 def _alone(k: int):
-    schema = pa.schema([("label", pa.int64()), ("node", pa.binary())])
+    schema = pa.schema([("label", pa.int64()), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, (node, packed) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
                 labels = _words(packed, k)[1].view(np.int64)
-                yield pa.record_batch([pa.array(labels), pa.array([node] * len(labels), pa.binary())], schema=schema)
+                yield pa.record_batch([pa.array(labels), pa.array(np.full(len(labels), node))], schema=schema)
 
     return run
 
 
 def _rest(rows: DataFrame, words: DataFrame, k: int, similarity: float, block: int) -> DataFrame:
     """Members outside their bucket's largest component against all others of the bucket, in pairs of blocks."""
-    bucket = ["band", "key"]
+    bucket = ["bucket"]
     rows = stored(rows, "omh-mixed")
     own = words.join(rows.select("node").distinct(), "node", "left_semi")
-    once = own.mapInArrow(_alone(k), "label long, node binary").groupBy("label").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    once = own.mapInArrow(_alone(k), "label long, node long").groupBy("label").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
     length = F.octet_length("words") / 4
     able = own.withColumn("length", length).join(once, "node", "left").where(F.coalesce("alone", F.lit(0)) <= (1 - similarity) * F.greatest(F.lit(1), F.col("length") - k + 1) + 1e-9).select("node", "words", "length")
     able = stored(able, "omh-able")
@@ -260,7 +274,7 @@ def _rest(rows: DataFrame, words: DataFrame, k: int, similarity: float, block: i
     left = rows.where("root <> main").select(*bucket, part("lb").alias("i"), every("rb").alias("j"), F.lit(0).alias("side"), "root", "node")
     right = rows.select(*bucket, every("lb").alias("i"), part("rb").alias("j"), F.lit(1).alias("side"), "root", "node")
     sides = left.unionAll(right).join(able.select("node", "words"), "node")
-    return sides.groupBy(*bucket, "i", "j").applyInArrow(_blocks(k, similarity), "a binary, b binary")
+    return sides.groupBy(*bucket, "i", "j").applyInArrow(_blocks(k, similarity), "ra long, rb long")
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
