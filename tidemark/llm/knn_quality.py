@@ -11,8 +11,8 @@ length 1. For each block of documents the cosines with all labelled vectors are
 Defined cases: a text without terms (null, empty) and one without a neighbour of positive cosine get the share
 of label 1 in the sample; without any labelled document that share is 0.5; null labels and labelled ids
 without a document teach nothing; repeated rows are scored alike (repeated labels of an id count once,
-the largest); ties between neighbours go to the first by id; a column with the result's name is replaced; an
-empty table gives an empty result.
+the largest); of neighbours that tie for the last places any may vote, the same ones in each run; a column with
+the result's name is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
