@@ -176,6 +176,8 @@ def _blocks(k: int, least: float):
 
         found = []
         left, right = ([i for i, s in enumerate(side) if s == w] for w in (0, 1))
+        if not left or not right:  # a block may be empty, as texts are dealt by hash
+            return pa.table({"ra": pa.array([], pa.int64()), "rb": pa.array([], pa.int64())})
         # k-mers of all texts on the right, each with the texts that have it: counts what a text on the left shares with all at once
         sizes = np.array([len(texts[j][1]) for j in right])
         flat = np.concatenate([texts[j][1] for j in right])
