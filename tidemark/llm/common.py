@@ -51,7 +51,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again: later stages restart from there, whatever executor is lost."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of stored() that no later step reads."""
+    for df in tables:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def free_name(df: DataFrame, stem: str) -> str:
@@ -205,8 +214,11 @@ def components(links: DataFrame, label: str) -> DataFrame:
         large = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         floor = large.groupBy("hi").agg(F.min("lo").alias("m"))
         hung = large.join(floor, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges, now = put(hung.unionAll(floor.select("hi", F.col("m").alias("lo"))).distinct(), "star")
+        old, (edges, now) = edges, put(hung.unionAll(floor.select("hi", F.col("m").alias("lo"))).distinct(), "star")
+        discard(old)
         if now == before:
             break
         before = now
-    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    out = edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    out._stored_at = edges._stored_at
+    return out

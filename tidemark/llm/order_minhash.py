@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, components, labelled, mix, shingle_hashes, slices, stored, text_bytes, word_hashes
+from .common import as_text, components, discard, labelled, mix, shingle_hashes, slices, stored, text_bytes, word_hashes
 
 K, SIMILARITY, SKETCHES, PICKS, ROUNDS = 5, 0.8, 20, 3, 2
 #: Texts, and words of texts, in one side of a pair of blocks.
@@ -230,11 +230,13 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             texts = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").join(words.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
             links = texts.select("ra", "rb", "x", "y").mapInArrow(_verify(k, similarity), "ra long, rb long")
         else:
-            links = _rest(rows.join(mixed.select("bucket"), "bucket"), words, k, similarity, block)
+            links, used = _rest(rows.join(mixed.select("bucket"), "bucket"), words, k, similarity, block)
         # links are between roots, so each round's graph is that of the round before with its components shrunk to points
         found = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")), f"omh{r}")
-        found = found.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        rows = stored(rows.join(found, "root", "left").select("bucket", "node", F.coalesce("top", "root").alias("root")), f"omh-rows{r}")
+        tops = found.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        old, rows = rows, stored(rows.join(tops, "root", "left").select("bucket", "node", F.coalesce("top", "root").alias("root")), f"omh-rows{r}")
+        discard(old, found)
+    discard(words, *used)
 
     roots = rows.select(F.col("node").alias("rep"), "root").distinct()
     grouped = ids.select("uid", "rep").join(roots, "rep", "left").select("uid", F.coalesce("root", "rep").alias("root"))
@@ -257,10 +259,10 @@ def _alone(k: int):
     return run
 
 
-def _rest(rows: DataFrame, words: DataFrame, k: int, similarity: float, block: int) -> DataFrame:
-    """Members outside their bucket's largest component against all others of the bucket, in pairs of blocks."""
+def _rest(rows: DataFrame, words: DataFrame, k: int, similarity: float, block: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links, and the stored tables they are read from: members outside their bucket's largest component against all others of the bucket, in pairs of blocks."""
     bucket = ["bucket"]
-    rows = stored(rows, "omh-mixed")
+    rows = mixed = stored(rows, "omh-mixed")
     own = words.join(rows.select("node").distinct(), "node", "left_semi")
     once = own.mapInArrow(_alone(k), "label long, node long").groupBy("label").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
     length = F.octet_length("words") / 4
@@ -276,7 +278,7 @@ def _rest(rows: DataFrame, words: DataFrame, k: int, similarity: float, block: i
     left = rows.where("root <> main").select(*bucket, part("lb").alias("i"), every("rb").alias("j"), F.lit(0).alias("side"), "root", "node")
     right = rows.select(*bucket, every("lb").alias("i"), part("rb").alias("j"), F.lit(1).alias("side"), "root", "node")
     sides = left.unionAll(right).join(able.select("node", "words"), "node")
-    return sides.groupBy(*bucket, "i", "j").applyInArrow(_blocks(k, similarity), "ra long, rb long")
+    return sides.groupBy(*bucket, "i", "j").applyInArrow(_blocks(k, similarity), "ra long, rb long"), [mixed, able]
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
