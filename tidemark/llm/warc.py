@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import discard, scratch, stored
 
 LEAST, LEVEL, ARCHIVE_BYTES, ARCHIVE_RECORDS, CHUNK = 100, 3, 64 << 20, 4096, 1 << 18
 END = b"\r\n\r\n"
@@ -289,7 +289,12 @@ def _record(raw: bytes) -> dict:
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Pages written as monolithic archives, normalised, and read back by index."""
+    """Pages written as monolithic archives, normalised, and read back by index. The monolithic archives go once all are normalised."""
     spark = pages.sparkSession
     raw, clean = (qualified(spark, scratch(spark, label)) for label in ("warc-raw", "warc"))
-    return read(normalise(write(pages, raw, **options), raw, clean), clean)
+    listing = write(pages, raw, **options)
+    archives = normalise(listing, raw, clean)
+    discard(listing)
+    disk, base = fs.FileSystem.from_uri(raw)
+    disk.delete_dir(base)
+    return read(archives, clean)
