@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stored, text_bytes, with_struct
+from .common import discard, free_name, stored, text_bytes, with_struct
 
 WEIGHTS, MOST, CHUNK, LANDING, MOST_SOURCES = (5.0, 2.0, 1.0), 3.0, 2048, 12, 100_000
 _SPACE = np.zeros(256, bool)
@@ -178,6 +178,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         dealt = now.join(chunks, F.col("source").eqNullSafe(F.col("chunk_source"))).withColumn("part", F.pmod(F.xxhash64("doc_id", "text_key", F.lit(level)), "chunks"))
         flown = dealt.groupBy("source", "part").applyInArrow(_narrow(_fly(seed + level, sure)), fields)
         flown = stored(flown, f"mix-flown{level}")
+        discard(now)
         part = flown.where("share = 0 or share = 1").select(*UNIT, "share")
         decided = part if decided is None else decided.unionAll(part)
         if sure:
