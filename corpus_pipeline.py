@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import cube_mixing, language_mixture, order_minhash, qgram_decontamination, secret_forest
-from tidemark.llm.common import free_name, held_out, stored
+from tidemark.llm.common import discard, free_name, held_out, stored
 
 #: A document goes if the language with the largest part in it has less than this.
 LEAST_SHARE = 0.5
@@ -65,8 +65,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{name}")
-    return docs
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        old, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if i:
+            discard(old)
+    return STAGES[-1][1](spark, docs, sf_dir)
