@@ -155,3 +155,28 @@ def test_secrets_awkward(spark, forest):
     assert secret_forest.find(empty(spark), forest).count() == 0
     with pytest.raises(ValueError, match="both labels"):
         secret_forest.train(spark, spark.createDataFrame([("a1", "", "", "", 1)], "value string, before string, after string, path string, label int"))
+
+
+def masked(spark, forest, texts, source=None, **options):
+    """What is left of each text after its confirmed secrets are masked."""
+    df = secret_forest.find(spark.createDataFrame([(i, t, None, source, 0) for i, t in enumerate(texts)], DOCS), forest, **options)
+    out = df.select("doc_id", secret_forest.redact(F.col("text"), F.col("findings")).alias("clean")).collect()
+    return [r.clean for r in sorted(out, key=lambda r: r.doc_id)]
+
+
+def test_names_that_are_candidates(spark, forest):
+    """What stands beside a candidate is read from the whole text, also behind another candidate."""
+    jwt = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4ifQ.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"
+    forms = ["OAUTH2_CLIENT_SECRET={}", 'S3_SECRET_ACCESS_KEY: "{}"', "x " * 3000 + "OAUTH2_CLIENT_SECRET={} y"]
+    assert masked(spark, forest, [f.format(SECRET) for f in forms]) == [f.format("[secret]") for f in forms]
+    assert masked(spark, forest, [f'token = "{jwt}"', f"Authorization: Bearer {jwt}\n"]) == ['token = "[secret]"', "Authorization: Bearer [secret]\n"]
+
+
+def test_beside_equals_slices(spark):
+    draw = random.Random(5)
+    texts = ["".join(draw.choice(["a1" * 8 + " ", "é", ".", "0" * 20 + " ", "\U0001f600 "]) for _ in range(n)) for n in (1, 5, 30, 900, 3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", secret_forest.candidates(F.col("t")).alias("c"))
+    for r in df.collect():
+        for c in r.c:
+            end = c.start + len(c.value)
+            assert (c.before, c.after) == (texts[r.i][max(c.start - 40, 0) : c.start], texts[r.i][end : end + 16])

@@ -1,8 +1,10 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are runs of 16 or more letters, digits and `+/_-` with a digit among them, up to two `=` at the end. Each is
+Candidates are runs of 16 or more letters, digits and `+/_-` with a digit among them, up to two `=` at the end (which a name that
+is assigned to leaves to its value), and JSON web tokens as a whole. Each is
 described by length, transitions between character classes, shares of digits, capitals, hex digits and distinct characters,
-dictionary coverage, its path (the document's source) and the words beside it. A random forest, trained from
+dictionary coverage, its path (the document's source) and the words beside it
+in the whole text. A random forest, trained from
 labelled findings, gives the probability that a candidate is a secret; those of `threshold` or more are confirmed.
 
 Only DataFrame functions are used: the forest is trained by Spark's own learner, and its trees become CASE expressions,
@@ -30,8 +32,15 @@ from pyspark.sql import functions as F
 from .native import let, total
 
 BODY = "[A-Za-z0-9+/_-]"
-CANDIDATE = rf"(?<!{BODY})(?=[A-Za-z+/_-]*+[0-9]){BODY}{{16,}}+={{0,2}}"
-BEFORE, AFTER = 40, 16
+#: A name that holds one of these words, up to what it is assigned with.
+NAME = r"(?i:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|auth|authorization|bearer|private|credentials?)[A-Za-z0-9_-]{0,16}"
+#: What stands between a name and its value.
+SIGN = r"[\"'`\]]{0,2}\s{0,3}(?::=|=>|={1,2}|:)\s{0,3}[\"'`]?"
+#: A run, whose `=` belong to it unless it is such a name; and a whole JSON web token.
+RUN = rf"(?<!{BODY})(?=[A-Za-z+/_-]*+[0-9]){BODY}{{16,}}+(?:(?<!{NAME})={{1,2}})?"
+JWT = rf"(?<!{BODY})eyJ[A-Za-z0-9_-]{{5,}}(?:\.[A-Za-z0-9_-]+){{2,4}}"
+CANDIDATE = f"(?:{JWT}|{RUN})"
+BEFORE, AFTER, BLOCK = 40, 16, 4096
 THRESHOLD, TREES, DEPTH, MOST_FINDINGS, SEED = 0.5, 15, 6, 20_000, 7
 MASK = "[secret]"
 
@@ -51,7 +60,7 @@ schema script search section select server service session setting source stack
 table target task template test text thread time title token tool trace transaction transfer type update user util value vector version view
 widget window worker xxxx your""".split()
 
-FEATURES = ["length", "transitions", "digits", "capitals", "hex", "distinct", "longest_class", "coverage", "named_secret", "named_other", "assigned", "quoted", "example_path"]
+FEATURES = ["length", "transitions", "digits", "capitals", "hex", "distinct", "longest_class", "coverage", "named_secret", "named_other", "assigned", "quoted", "example_path", "named_here", "names", "jwt"]
 
 
 def _near(text: Column, words: list[str]) -> Column:
@@ -81,6 +90,9 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
         before.rlike("[:=]\\s*[\"'`]?$").cast("double"),
         before.rlike("[\"'`]$").cast("double") + after.rlike("^[\"'`]").cast("double"),
         _near(path, EXAMPLE_PATHS),
+        before.rlike(NAME + SIGN + "$").cast("double"),
+        (value.rlike(NAME) & after.rlike("^[\"'`]?\\s*(?::=|[:=])")).cast("double"),
+        value.rlike("^" + JWT + "$").cast("double"),
     ]
     return F.struct(*(v.cast("double").alias(n) for n, v in zip(FEATURES, values, strict=True)))
 
@@ -91,7 +103,8 @@ def candidates(text: Column) -> Column:
     found = F.when(text.rlike(CANDIDATE), F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
     def placed(values: Column) -> Column:
-        # the pieces between candidates give their places: each is as far as all pieces and values before it are long
+        # the pieces between candidates give their places: each is as far as all pieces and values before it are long;
+        # what stands beside a candidate comes from the whole text, in blocks so that a long text is not walked again for each
         pieces = F.split(text, CANDIDATE, -1)
         lengths = lambda ps: F.transform(ps, lambda p, i: F.length(p) + F.when(i == 0, 0).otherwise(F.length(F.get(values, i - 1))))
         grow = lambda ls: F.aggregate(ls, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x)))
@@ -102,11 +115,20 @@ def candidates(text: Column) -> Column:
             shifted = lambda bs: F.flatten(F.zip_with(F.transform(bs, grow), grow(F.transform(bs, lambda x: total(x).cast("int"))), lambda own, past: F.transform(own, lambda x: x + past - F.element_at(own, -1))))
             return let(blocks, shifted)
 
-        return let(pieces, lambda ps: let(sums(lengths(ps)), lambda at: F.transform(values, lambda v, i: F.struct(
+        blocks = F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{BLOCK}}})"), F.lit(1))
+
+        def beside(bs: Column, at: Column, size: int) -> Column:
+            # size characters from place `at` on, which may be negative
+            own = F.greatest(at, F.lit(0))
+            first = F.floor(own / BLOCK).cast("int")
+            block = lambda k: F.coalesce(F.get(bs, k), F.lit(""))
+            return F.substr(F.concat(block(first), block(first + 1)), (own - first * BLOCK + 1).cast("int"), F.lit(size) + F.least(at, F.lit(0)))
+
+        return let(pieces, lambda ps: let(sums(lengths(ps)), lambda at: let(blocks, lambda bs: F.transform(values, lambda v, i: F.struct(
             v.alias("value"), F.get(at, i).alias("start"),
-            F.substr(F.get(ps, i), F.greatest(F.length(F.get(ps, i)) - BEFORE + 1, F.lit(1))).alias("before"),
-            F.substr(F.get(ps, i + 1), F.lit(1), F.lit(AFTER)).alias("after"),
-        ))))
+            beside(bs, F.get(at, i) - BEFORE, BEFORE).alias("before"),
+            beside(bs, F.get(at, i) + F.length(v), AFTER).alias("after"),
+        )))))
 
     return F.when(F.size(found) == 0, F.array().cast("array<struct<value:string,start:int,before:string,after:string>>")).otherwise(let(found, placed))
 
@@ -134,6 +156,13 @@ def labelled_findings(seed: int = SEED, each: int = 250) -> list[tuple[str, str,
         add(pick(alnum, draw.randint(20, 44)) + "7", draw.choice(["", word() + "_"]) + secret(), 1)
         add(pick(base64, draw.randint(24, 60)) + "4" + draw.choice(["", "=", "=="]), secret(), 1)
         add(draw.choice(["AKIA", "ghp_", "sk_live_", "xoxb-", "glpat-"]) + pick(alnum, 24) + "1", secret(), 1)
+        jwt = ".".join(["eyJ" + pick(alnum, draw.randint(15, 40)), "eyJ" + pick(alnum, draw.randint(20, 200)), pick(alnum + "_-", 43)])
+        add(jwt, secret(), 1)
+        rows.append((jwt, (prose() + draw.choice(["", "\"", "= \"", "Bearer "]))[-BEFORE:], draw.choice(["\"", " ", ""]), path(), 1))
+        # a long name with a digit that something is assigned to, and what stands some way behind a secret
+        name = "_".join([word(), secret() + pick(string.digits, 1), word()])
+        rows.append((name.upper() if draw.random() < 0.5 else name, prose()[-BEFORE:], join() + pick(hexes, 10), path(), 0))
+        rows.append((pick(string.digits + "abcdef", 16), (f"{secret()}{join()}{pick(alnum, 12)}\" {word()} ")[-BEFORE:], " " + word(), path(), 0))
         # digests, revisions, identifiers and numbers
         add(pick(hexes, draw.choice([32, 40, 64])), draw.choice(OTHER_WORDS), 0)
         rows.append((pick(string.digits, draw.choice([16, 16, 18, 20])), prose()[-BEFORE:], " " + word(), path(), 0))
