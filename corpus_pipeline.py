@@ -37,9 +37,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Confirmed secrets are masked in the text, and n_chars follows; all documents stay."""
+    """Confirmed secrets are masked in the text, and n_chars follows; all documents stay. A source is a name, not a path."""
     name = free_name(docs, "findings")
-    found = secret_forest.find(docs, secret_forest.train(spark), out=name)
+    found = secret_forest.find(docs, secret_forest.train(spark), path_col=None, out=name)
     clean = found.withColumn("text", secret_forest.redact(F.col("text"), F.col(name)))
     masked = F.exists(name, lambda f: f["secret"])
     return _named(clean.withColumn("n_chars", F.when(masked, F.length("text").cast("long")).otherwise(F.col("n_chars"))), docs.columns)

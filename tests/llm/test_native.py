@@ -180,3 +180,14 @@ def test_beside_equals_slices(spark):
         for c in r.c:
             end = c.start + len(c.value)
             assert (c.before, c.after) == (texts[r.i][max(c.start - 40, 0) : c.start], texts[r.i][end : end + 16])
+
+
+def test_source_names_exempt_nothing(spark, forest):
+    import corpus_pipeline
+
+    text = f'api_key: "{SECRET}"'
+    for name in ("docs", "test", "web-docs", "demo", None):
+        assert masked(spark, forest, [text], source=name) == ['api_key: "[secret]"']
+    assert masked(spark, forest, [text], source="a/test/b.py") == [text]
+    df = corpus_pipeline.secret_scan(spark, spark.createDataFrame([(1, text, "en", "web/docs", len(text))], DOCS), "")
+    assert df.first().text == 'api_key: "[secret]"'

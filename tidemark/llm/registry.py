@@ -78,7 +78,7 @@ def op9_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each candidate, with the forest's verdict."""
-    found = secret_forest.find(_table(spark, sf_dir, "documents"), secret_forest.train(spark), keep=["doc_id"])
+    found = secret_forest.find(_table(spark, sf_dir, "documents"), secret_forest.train(spark), path_col=None, keep=["doc_id"])
     return found.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.start", "f.value", "f.probability", "f.secret")
 
 

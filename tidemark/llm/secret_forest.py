@@ -3,7 +3,7 @@
 Candidates are runs of 16 or more letters, digits and `+/_-` with a digit among them, up to two `=` at the end (which a name that
 is assigned to leaves to its value), and JSON web tokens as a whole. Each is
 described by length, transitions between character classes, shares of digits, capitals, hex digits and distinct characters,
-dictionary coverage, its path (the document's source) and the words beside it
+dictionary coverage, its file path and the words beside it
 in the whole text. A random forest, trained from
 labelled findings, gives the probability that a candidate is a secret; those of `threshold` or more are confirmed.
 
@@ -14,7 +14,8 @@ Labelled findings are (value, before, after, path, label). `labelled_findings` m
 own triaged findings of the same columns replace it. At most `most_findings` of them (by hash) are used for training.
 
 Defined cases: a null or empty text has no candidates; long texts are searched whole; a candidate that occurs several times
-is reported at each place; repeated rows are judged alike; null paths are empty; a column named like
+is reported at each place; repeated rows are judged alike; null paths are empty; what has no slash is a name and not a path, so that
+a source called `docs` exempts nothing; a column named like
 the result is replaced, others stay; an empty table gives an empty result; findings of one label only are refused.
 """
 
@@ -89,7 +90,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
         _near(before, OTHER_WORDS),
         before.rlike("[:=]\\s*[\"'`]?$").cast("double"),
         before.rlike("[\"'`]$").cast("double") + after.rlike("^[\"'`]").cast("double"),
-        _near(path, EXAMPLE_PATHS),
+        (_near(path, EXAMPLE_PATHS) * path.rlike(r"[/\\]").cast("double")),
         before.rlike(NAME + SIGN + "$").cast("double"),
         (value.rlike(NAME) & after.rlike("^[\"'`]?\\s*(?::=|[:=])")).cast("double"),
         value.rlike("^" + JWT + "$").cast("double"),
@@ -211,11 +212,14 @@ def vote(forest: list, f: Column) -> Column:
     return sum((grow(t) for t in forest[1:]), grow(forest[0])) / len(forest)
 
 
-def find(docs: DataFrame, judge: Callable[[Column], Column], *, text_col: str = "text", path_col: str = "source", out: str = "findings", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs (or its columns `keep`) with `out`: start, value, before, after, probability and secret of each candidate."""
+def find(docs: DataFrame, judge: Callable[[Column], Column], *, text_col: str = "text", path_col: str | None = "source", out: str = "findings", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """docs (or its columns `keep`) with `out`: start, value, before, after, probability and secret of each candidate.
+
+    path_col=None if no column holds file paths.
+    """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != out.lower()]
     name = lambda c: F.col("`" + c.replace("`", "``") + "`")
-    path = F.coalesce(name(path_col).cast("string"), F.lit(""))
+    path = F.lit("") if path_col is None else F.coalesce(name(path_col).cast("string"), F.lit(""))
     described = lambda cs: F.transform(cs, lambda c: F.struct(c.alias("c"), features(c["value"], c["before"], c["after"], path).alias("f")))
     scored = lambda ds: F.transform(ds, lambda d: F.struct(d["c"].alias("c"), judge(d["f"]).alias("p")))
     shown = lambda ss: F.transform(ss, lambda s: F.struct(s["c"]["start"].alias("start"), s["c"]["value"].alias("value"), s["c"]["before"].alias("before"), s["c"]["after"].alias("after"), s["p"].alias("probability"), (s["p"] >= threshold).alias("secret")))
