@@ -191,3 +191,14 @@ def test_source_names_exempt_nothing(spark, forest):
     assert masked(spark, forest, [text], source="a/test/b.py") == [text]
     df = corpus_pipeline.secret_scan(spark, spark.createDataFrame([(1, text, "en", "web/docs", len(text))], DOCS), "")
     assert df.first().text == 'api_key: "[secret]"'
+
+
+def test_values_behind_names(spark, forest):
+    """Passwords and tokens of any length and characters, quoted or assigned; names in camel case; credentials in URLs."""
+    forms = [
+        ('password = "{}"', "Tr0ub4dor&3"), ('token="{}"', "abcdefghijKLMNOPqrstuvwx"), ("DB_PASSWORD={}\n", "hunter2!x"), ("dbPassword: '{}',", "s3cr#t"),
+        ('{{"clientSecret": "{}", "a": 1}}', "qwErTyUiOp"), (f'accessToken = "{{}}"', SECRET), ("see postgres://admin:{}@db.host:5432/x", "pa55w0rd"), ('password("{}")', "Zq8$kk"),
+    ]
+    assert masked(spark, forest, [f.format(v) for f, v in forms]) == [f.format("[secret]") for f, _ in forms]
+    other = ["the token: it is here", "password = None", 'password = "${DB_PASS}"', "token = get_token()", "password: string", "secret = os.environ[x]", 'password = "changeme"', "http://host:8080/a@b", "token of thanks", "tokens: many"]
+    assert masked(spark, forest, other) == other

@@ -1,7 +1,9 @@
 """Secret scan with a random forest that removes false positives.
 
 Candidates are runs of 16 or more letters, digits and `+/_-` with a digit among them, up to two `=` at the end (which a name that
-is assigned to leaves to its value), and JSON web tokens as a whole. Each is
+is assigned to leaves to its value), JSON web tokens as a whole, passwords in URLs, and whatever is quoted or assigned behind a
+name that holds a word for secrets: quoted up to the quote of the same kind (a phrase of 8 words at most), else
+up to a blank or quote. Each is
 described by length, transitions between character classes, shares of digits, capitals, hex digits and distinct characters,
 dictionary coverage, its file path and the words beside it
 in the whole text. A random forest, trained from
@@ -36,11 +38,17 @@ BODY = "[A-Za-z0-9+/_-]"
 #: A name that holds one of these words, up to what it is assigned with.
 NAME = r"(?i:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|auth|authorization|bearer|private|credentials?)[A-Za-z0-9_-]{0,16}"
 #: What stands between a name and its value.
-SIGN = r"[\"'`\]]{0,2}\s{0,3}(?::=|=>|={1,2}|:)\s{0,3}[\"'`]?"
+ASSIGN = r"[\"'`\]]{0,2}\s{0,3}(?::=|=>|={1,2}|:)\s{0,3}"
+SIGN = ASSIGN + "[\"'`]?"
 #: A run, whose `=` belong to it unless it is such a name; and a whole JSON web token.
 RUN = rf"(?<!{BODY})(?=[A-Za-z+/_-]*+[0-9]){BODY}{{16,}}+(?:(?<!{NAME})={{1,2}})?"
 JWT = rf"(?<!{BODY})eyJ[A-Za-z0-9_-]{{5,}}(?:\.[A-Za-z0-9_-]+){{2,4}}"
-CANDIDATE = f"(?:{JWT}|{RUN})"
+#: A password in a URL; the quoted or assigned value of a name, whatever its length and characters.
+IN_URL = r"(?<=:)(?<=[A-Za-z][A-Za-z0-9+.-]{0,16}://[^\s/:@\"'`]{0,64}:)[^\s/@\"'`]+(?=@)"
+SCHEME = r"(?!(?i:bearer|basic)\s)"
+QUOTED = "|".join(rf"(?<={q})(?<={NAME}(?:{ASSIGN}|\s{{1,3}}|\(\s?){q}){SCHEME}(?![\s{q}])[^\s{q}\\]*(?:\\.[^\s{q}\\]*){{0,32}}(?:[ \t]+[^\s{q}]{{1,64}}){{0,7}}(?={q})" for q in "\"'`")
+ASSIGNED = rf"(?<=[:=>\s])(?<=[:=>]\s{{0,3}}|[rRcC]\s)(?<={NAME}{ASSIGN}|(?i:bearer|basic)[ \t]){SCHEME}[^\s\"'`=:>,;&][^\s\"'`,;&]*(?:[,;&](?![A-Za-z_.-]+[=:])[^\s\"'`,;&]+){{0,16}}(?<![.)\]}}>])"
+CANDIDATE = f"(?:{IN_URL}|{JWT}|{QUOTED}|{RUN}|{ASSIGNED})"
 BEFORE, AFTER, BLOCK = 40, 16, 4096
 THRESHOLD, TREES, DEPTH, MOST_FINDINGS, SEED = 0.5, 15, 6, 20_000, 7
 MASK = "[secret]"
@@ -61,11 +69,15 @@ schema script search section select server service session setting source stack
 table target task template test text thread time title token tool trace transaction transfer type update user util value vector version view
 widget window worker xxxx your""".split()
 
-FEATURES = ["length", "transitions", "digits", "capitals", "hex", "distinct", "longest_class", "coverage", "named_secret", "named_other", "assigned", "quoted", "example_path", "named_here", "names", "jwt"]
+#: What stands in a secret's place without being one.
+FILLER = r"(?i)^(?:none|null|nil|true|false|undefined|string|str|int|bool|bytes|optional|required|yes|no|n/a|todo|tbd|redacted|\[secret\]|hidden|password|passwd|token|secret|pass|user|key)\W*$|^[$%]?[<{(\[].*[>})\]]s?$|change.?me|placeholder|example|(?:^|[^a-z])your(?:[^a-z]|$)|^(.)\1{3,}\W*$"
+
+FEATURES = ["length", "transitions", "digits", "capitals", "hex", "distinct", "longest_class", "coverage", "named_secret", "named_other", "assigned", "quoted", "example_path", "named_here", "names", "jwt", "in_url", "equals", "symbols", "blanks", "code", "plain", "mixed", "filler"]
 
 
 def _near(text: Column, words: list[str]) -> Column:
-    return text.rlike(r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(words) + r")(?![A-Za-z0-9])").cast("double")
+    # the words of clientSecret and APIToken stand apart
+    return F.regexp_replace(text, "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_").rlike(r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(words) + r")(?![A-Za-z0-9])").cast("double")
 
 
 def features(value: Column, before: Column, after: Column, path: Column) -> Column:
@@ -94,6 +106,14 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
         before.rlike(NAME + SIGN + "$").cast("double"),
         (value.rlike(NAME) & after.rlike("^[\"'`]?\\s*(?::=|[:=])")).cast("double"),
         value.rlike("^" + JWT + "$").cast("double"),
+        (before.rlike("(?:://|^)[^\\s/:@]*:$") & after.startswith("@")).cast("double"),
+        before.rlike("=\\s*[\"'`]?$").cast("double") + before.rlike("[A-Za-z0-9_-][\"']?=$").cast("double"),
+        gone("[^A-Za-z0-9\\s]") / size,
+        gone("\\s") / size,
+        value.rlike(r"^[$%<{\[(]|[\w\])]\(|\[|^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+$|::|->").cast("double"),
+        value.rlike("^[\\p{L}][\\p{Ll}]*[^\\p{L}0-9]*$").cast("double"),
+        value.rlike("[a-z][A-Z]|[A-Z]{2}.*[a-z]").cast("double"),
+        value.rlike(FILLER).cast("double"),
     ]
     return F.struct(*(v.cast("double").alias(n) for n, v in zip(FEATURES, values, strict=True)))
 
@@ -153,13 +173,52 @@ def labelled_findings(seed: int = SEED, each: int = 250) -> list[tuple[str, str,
 
     for _ in range(each):
         secret = lambda: draw.choice(SECRET_WORDS)
-        add(case(pick(hexes, draw.choice([32, 40, 40, 64]))), secret(), 1)
+        for name in (secret(), word() + "_" + secret(), draw.choice(["clientSecret", "accessToken", "dbPassword", "apiKey", "CLIENT2_SECRET", "SECRET_ACCESS_KEY"])):
+            add(case(pick(hexes, draw.choice([32, 40, 40, 64]))), name, 1)
         add(pick(alnum, draw.randint(20, 44)) + "7", draw.choice(["", word() + "_"]) + secret(), 1)
         add(pick(base64, draw.randint(24, 60)) + "4" + draw.choice(["", "=", "=="]), secret(), 1)
         add(draw.choice(["AKIA", "ghp_", "sk_live_", "xoxb-", "glpat-"]) + pick(alnum, 24) + "1", secret(), 1)
         jwt = ".".join(["eyJ" + pick(alnum, draw.randint(15, 40)), "eyJ" + pick(alnum, draw.randint(20, 200)), pick(alnum + "_-", 43)])
         add(jwt, secret(), 1)
         rows.append((jwt, (prose() + draw.choice(["", "\"", "= \"", "Bearer "]))[-BEFORE:], draw.choice(["\"", " ", ""]), path(), 1))
+        # passwords and tokens of any length, quoted or assigned, also behind names in camel case
+        name = secret().replace("-", "_")
+        camel = lambda: draw.choice([word(), "db", "my"]) + draw.choice(["Token", "Secret", "Password", "ApiKey", "AccessKey", "Credential"])
+        vowel, rest = "aeiou", "bcdfghklmnprstvw"
+        spoken = lambda n: "".join(draw.choice(rest) + draw.choice(vowel) for _ in range(n))
+        marks = lambda n: pick("!#$%&*+-.?@^_~", n)
+        for _ in range(4):
+            shape = draw.randint(0, 4)
+            if shape == 0:
+                value = spoken(2).capitalize() + pick(string.digits, draw.randint(1, 4)) + marks(draw.randint(0, 2)) + pick(alnum, draw.randint(0, 3))
+            elif shape == 1:
+                value = pick(alnum, draw.randint(3, 14)) + marks(1) + pick(alnum, draw.randint(1, 6))
+            elif shape == 2:
+                value = pick(string.ascii_lowercase, draw.randint(8, 16)) + pick(string.ascii_uppercase, draw.randint(3, 8)) + pick(string.ascii_letters, draw.randint(0, 20))
+            elif shape == 3:
+                value = pick(alnum, draw.randint(6, 24))
+            else:
+                value = spoken(draw.randint(2, 5)) + pick(string.digits, draw.randint(0, 4))
+            open_ = draw.choice([" = \"", "=\"", ": \"", "\": \"", " := \"", " = '", "='", ": '", "=", "=", "=", "=", "=", " \"", "(\""])
+            shut = {"\"": "\"", "'": "'"}.get(open_[-1], draw.choice(["", " ", "\n"]))
+            rows.append((value, (prose() + draw.choice([name, name.upper(), camel(), word() + "_" + name]) + open_)[-BEFORE:], shut + draw.choice(["", " " + word(), "\n", ";", ","]), path(), 1))
+        rows.append((" ".join(spoken(draw.randint(2, 3)) for _ in range(4)), (prose() + draw.choice([name, camel()]) + draw.choice([" = \"", ": \""]))[-BEFORE:], "\"", path(), 1))
+        scheme = lambda: draw.choice(["postgres", "mysql", "https", "redis", "amqp", "ftp", "mongodb+srv"]) + "://" + draw.choice(["", word(), "root", word() + "7"]) + ":"
+        rows.append((draw.choice([pick(alnum, draw.randint(4, 24)), spoken(3) + "1", spoken(4), spoken(2) + marks(1).replace("@", "!") + pick(alnum, 4)]), (prose() + scheme())[-BEFORE:], "@" + word() + ".example", path(), 1))
+        # what a name of a secret is also followed by: prose, code, types and fillers
+        call = draw.choice([f"get_{word()}(", f"{word()}.{word()}", f"os.environ[", f"${{{word().upper()}}}", f"<{word()}>", f"{word()}({word()}", f"self.{word()}", f"self._{word()}_{word()}", f"{{{{ {word()} }}}}"])
+        filler = draw.choice(["None", "null", "true", "false", "string", "str", "changeme", "your-password", "your_token_here", "********", "xxxxxxxx", "REDACTED", "example", "placeholder", "password", "secret"])
+        assign = lambda: draw.choice([name, camel(), name.upper()]) + draw.choice([" = ", "=", ": "])
+        rows.append((call, (prose() + assign())[-BEFORE:], draw.choice(["", ")", "\n", "()"]), path(), 0))
+        rows.append((filler, (prose() + assign() + "\"")[-BEFORE:], "\"", path(), 0))
+        rows.append((filler, (prose() + assign())[-BEFORE:], draw.choice(["", "\n", ","]), path(), 0))
+        rows.append((call, (prose() + assign() + "\"")[-BEFORE:], "\"", path(), 0))
+        rows.append((draw.choice(["${{{}}}", "${}", "<{}>", "%({})s", "{{{}}}"]).format(draw.choice(["DB_PASS", "TOKEN", "db_password", word(), word().upper() + "_" + word().upper()])), (prose() + assign() + draw.choice(["\"", "'", ""]))[-BEFORE:], draw.choice(["\"", "'"]), path(), 0))
+        for said in (word(), spoken(draw.randint(1, 4)), spoken(2).capitalize()):
+            rows.append((said, (prose() + draw.choice([secret(), secret() + "s"]) + ": ")[-BEFORE:], draw.choice([" ", ". "]) + word(), path(), 0))
+        rows.append((draw.choice(["${PASS}", "<password>", "xxxxxxxx", "password", "{token}", "$PASSWORD", "********"]), (prose() + scheme())[-BEFORE:], "@" + word(), path(), 0))
+        # a value that is named otherwise in a word that holds one of these
+        rows.append((pick(alnum, 12), (prose() + draw.choice(["tokenizer", "author", "secretary", "authors"]) + draw.choice(["=", ": \""]))[-BEFORE:], " ", path(), 0))
         # a long name with a digit that something is assigned to, and what stands some way behind a secret
         name = "_".join([word(), secret() + pick(string.digits, 1), word()])
         rows.append((name.upper() if draw.random() < 0.5 else name, prose()[-BEFORE:], join() + pick(hexes, 10), path(), 0))
@@ -189,7 +248,7 @@ def train(spark: SparkSession, findings: DataFrame | None = None, *, trees: int
     rows = rows.coalesce(1).sortWithinPartitions(*FEATURES, "label")
     if rows.select("label").distinct().count() < 2:
         raise ValueError("findings of both labels are needed")
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows))
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="0.6").fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows))
 
     def grown(node):
         if node.subtreeDepth() == 0:
