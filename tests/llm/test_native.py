@@ -202,3 +202,15 @@ def test_values_behind_names(spark, forest):
     assert masked(spark, forest, [f.format(v) for f, v in forms]) == [f.format("[secret]") for f, _ in forms]
     other = ["the token: it is here", "password = None", 'password = "${DB_PASS}"', "token = get_token()", "password: string", "secret = os.environ[x]", 'password = "changeme"', "http://host:8080/a@b", "token of thanks", "tokens: many"]
     assert masked(spark, forest, other) == other
+
+
+def test_a_source_full_of_junk_keeps_its_rule(spark):
+    """Repeated lines in 30 % of a hot source are found there."""
+    draw = random.Random(6)
+    line = lambda: " ".join("".join(draw.choices("abcdefghij", k=draw.randint(3, 8))) for _ in range(12))
+    text = lambda junk: "\n".join([line() for _ in range(6)] + ["ab"] * (5 if junk else 1))
+    data = [(i, text(i % 10 < 3), "en", "hot", 0) for i in range(400)] + [(1000 + i, text(False), "en", f"s{i % 4}", 0) for i in range(1200)]
+    out = quality_rules.judge(spark.createDataFrame(data, DOCS)).collect()
+    for r in out:
+        junk = r.doc_id < 1000 and r.doc_id % 10 < 3
+        assert r.level == "source" and r.kept != junk and ("dup_line_share" in r.failed) == junk

@@ -2,10 +2,12 @@
 
 Each document's measures (`MEASURES`) go into KLL sketches for each language and source; sketches of
 sources merge to one for each language and one for all. A document is judged by the sketch of its language
-and source if that has seen `least_rows` documents, else by that of its language, else by that of all. A
-measure passes up to Q3 + `spread` * (Q3 - Q1) + its slack; word length also passes only from
-Q1 - `spread` * (Q3 - Q1) - slack on. There is no fixed cutoff beside the slack. Documents meet their
-thresholds in a join.
+and source if that has seen `least_rows` documents, else by that of its language, else by that of all. Word
+length passes from Q1 - `spread` * (Q3 - Q1) - its slack to Q3 + `spread` * (Q3 - Q1) + its slack. A share passes up to its slack
+above the larger of two: Q2 + (2 * `spread` + 1) * (Q2 - Q1), which is the same fence for even halves, at most the larger 0.95 quantile
+of the language and of all; and the least 0.8 quantile of the group, its language and all. So junk in less than half of a group does
+not widen its fence, nor does more where the wider groups are clean. Where these quantiles are 0, the slack alone decides.
+Documents meet their thresholds in a join.
 
 Only DataFrame functions are used. Measures are written once to the shared folder, narrow, and both the
 sketches and the join read them from there; texts are read once and never shuffled.
@@ -26,6 +28,8 @@ from .native import BLANKS, blank_words, let, total
 
 #: Measure: slack added to its fence. All are at least 0.
 MEASURES = {"symbol_share": 0.2, "repeat_share": 0.25, "dup_line_share": 0.35, "word_length": 1.5}
+#: Measures of which only much is bad. Their tails: of the group, its language and all; and the bound of a group by the wider ones.
+SHARES, TAIL, WIDE = ("symbol_share", "repeat_share", "dup_line_share"), 0.8, 0.95
 LEAST_ROWS, SPREAD, SKETCH_K = 200, 3.0, 800
 MIN_WORDS, MOST_REPEATED = 50, 50
 
@@ -99,9 +103,17 @@ def thresholds(measured: DataFrame, *, least_rows: int = LEAST_ROWS, spread: flo
 
     def fences(m: str) -> list[Column]:
         sketch = F.when(F.col("level") == "source", F.col(m)).when(F.col("level") == "lang", F.col(f"l_{m}")).otherwise(F.col(f"e_{m}"))
-        q = lambda p: F.kll_sketch_get_quantile_double(sketch, F.lit(p))
-        step = spread * (q(0.75) - q(0.25)) + MEASURES[m]
-        return [(q(0.25) - step).alias(f"{m}_low"), (q(0.75) + step).alias(f"{m}_high")]
+        q = lambda s, p: F.kll_sketch_get_quantile_double(s, F.lit(p))
+        own = lambda p: q(sketch, p)
+        step = spread * (own(0.75) - own(0.25)) + MEASURES[m]
+        if m not in SHARES:
+            return [(own(0.25) - step).alias(f"{m}_low"), (own(0.75) + step).alias(f"{m}_high")]
+        every = q(F.col(f"e_{m}"), TAIL), q(F.col(f"e_{m}"), WIDE)
+        lang = [F.when(F.col("l_n") >= least_rows, q(F.col(f"l_{m}"), p)).otherwise(e) for p, e in zip((TAIL, WIDE), every, strict=True)]
+        # the lower half's spread: less than half of junk in a group moves neither
+        body = F.least(own(0.5) + (2 * spread + 1) * (own(0.5) - own(0.25)), F.greatest(lang[1], every[1]))
+        tail = F.least(own(TAIL), lang[0], every[0])
+        return [F.lit(-1.0).alias(f"{m}_low"), (F.greatest(body, tail) + MEASURES[m]).alias(f"{m}_high")]
 
     return out.select("lang", "source", "level", *(c for m in MEASURES for c in fences(m)))
 
