@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import cube_mixing, language_mixture, order_minhash, qgram_decontamination, secret_forest
 from tidemark.llm.common import discard, free_name, held_out, stored
 
-#: A document goes if the language with the largest part in it has less than this.
+#: A document goes if its languages together have less than this of it.
 LEAST_SHARE = 0.5
 
 
@@ -17,11 +17,12 @@ def _named(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language that has half of the text, go."""
+    """Documents without a letter, or of which the known languages have less than half together, go."""
     model = language_mixture.fit(docs.where(~held_out(F.col("doc_id"))))
     name = free_name(docs, "language")
     found = language_mixture.detect(docs, model, out=name)
-    return _named(found.where((F.col(f"{name}.lang") != "und") & (F.col(f"{name}.score") >= LEAST_SHARE)), docs.columns)
+    share = F.aggregate(f"{name}.languages", F.lit(0.0), lambda a, x: a + x["share"])
+    return _named(found.where((F.col(f"{name}.lang") != "und") & (share >= LEAST_SHARE)), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from tests.llm.helpers import AWKWARD, DOCS, awkward, empty
 from tests.llm.test_archives import brute_targets
 from tests.llm.test_learned import SYLLABLES, prose
 from tests.llm.test_matching import brute_classes, plain
+from tidemark.llm import language_mixture
 from tidemark.llm.common import stored
 
 SECRET = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"
@@ -125,3 +126,13 @@ def test_held_out_is_crc32(spark):
 
     rows = spark.createDataFrame([(i,) for i in [*range(50), None]], "i long").select("i", held_out(F.col("i")).alias("h")).collect()
     assert all(r.h == held(r.i) for r in rows)
+
+
+def test_documents_in_three_languages_stay(spark, folder):
+    draw = random.Random(8)
+    mixed = " ".join(prose(draw, lang, 60) for lang in sorted(SYLLABLES)[:3])
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    docs = docs.unionByName(spark.createDataFrame([(9001, mixed, None, "s1", len(mixed)), (9002, "12 34", None, "s1", 5)], DOCS))
+    found = language_mixture.detect(docs, language_mixture.fit(docs)).where("doc_id = 9001").first().language
+    assert found.score < 0.5 and len(found.languages) == 3
+    assert {r.doc_id for r in pipeline.language_id(spark, docs, "").where("doc_id > 9000").collect()} == {9001}
