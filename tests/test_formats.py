@@ -76,12 +76,19 @@ def test_iceberg_resume_keeps_the_table():
     assert not any(s.startswith("DROP") for s in t.statements)
 
 
-def test_hudi():
+def test_hudi(monkeypatch):
+    gone = []
+    monkeypatch.setattr("tidemark.sources.tables.Files", lambda spark, path: type("F", (), {"delete": lambda self: gone.append(path)})())
     t = made(StorageFormat.HUDI, api=ApiType.SQL, merge_mode=MergeMode.DELETE_INSERT)
+    assert t.compaction_every == 1 and made(StorageFormat.DELTA, compaction_frequency=4).compaction_every == 4
     t.prepare(Frame(), 0)
     t.write(Frame(), OperationType.BULK_INSERT, 0, {"a": "b"})
     t.write(Frame(), OperationType.UPSERT, 1, {})
     assert [s.split(" ")[0] for s in t.statements] == ["DROP", "CREATE", "ALTER", "SET", "INSERT", "MERGE"]
+    assert gone == [t.path]
+    resumed = made(StorageFormat.HUDI, api=ApiType.SQL, start_round=2)
+    resumed.prepare(Frame(), 2)
+    assert gone == [t.path] and [s.split(" ")[0] for s in resumed.statements] == ["CREATE"]
     t = made(StorageFormat.HUDI, write_mode=WriteMode.MERGE_ON_READ, async_compaction=True, compaction_frequency=4)
     options = t.options(OperationType.UPSERT, {"hoodie.compact.inline": "true", "x": "y"})
     assert options["hoodie.compact.inline"] == "false" and options["x"] == "y" and options["hoodie.compact.inline.max.delta.commits"] == "4"
@@ -146,3 +153,38 @@ def test_metrics(spark):
     row = run_summary(m.to_dataframe(spark)).first()
     assert (row.runs, row.succeeded, row.failed, row.total_ms, row.average_ms) == (3, 2, 1, 68, 34)
     assert "2 succeeded, 1 failed, 68 ms in all, 34 ms on average" in m.text()
+
+
+def test_delta_gets_the_options():
+    class Writer:
+        def __init__(self):
+            self.calls = []
+
+        def __getattr__(self, name):
+            return lambda *a, **k: self.calls.append((name, a, k)) or self
+
+    frame = Frame()
+    frame.write = Writer()
+    made(StorageFormat.DELTA).write(frame, OperationType.INSERT, 0, {"mergeSchema": "true"})
+    assert ("options", (), {"mergeSchema": "true"}) in frame.write.calls
+
+
+def test_statements_parse(spark):
+    """Every statement of the adapters is SQL to Spark's own parser; CALL is left out where it isn't."""
+    iceberg = made(StorageFormat.ICEBERG, write_mode=WriteMode.MERGE_ON_READ, async_compaction=True, initial_options={"k": "it's"})
+    hudi = made(StorageFormat.HUDI, api=ApiType.SQL, write_mode=WriteMode.MERGE_ON_READ, async_compaction=True, initial_options={"k": "v"}, start_round=1)
+    delta = made(StorageFormat.DELTA)
+    for t in (iceberg, hudi):
+        for mode, columns in ((MergeMode.UPDATE_INSERT, ()), (MergeMode.UPDATE_INSERT, ("key",)), (MergeMode.DELETE_INSERT, ())):
+            t.statements.append(c.merge_from(t.name, "source", ("key", "partition"), mode is MergeMode.DELETE_INSERT, columns))
+    for r in (0, 1):
+        iceberg.prepare(Frame(), r)
+        iceberg.write(Frame(), OperationType.INSERT, r, {})
+    hudi.prepare(Frame(), 1)
+    hudi.write(Frame(), OperationType.INSERT, 1, {"a": "b"})
+    iceberg.compact()
+    parser = spark._jsparkSession.sessionState().sqlParser()
+    said = [s for t in (iceberg, hudi, delta) for s in t.statements]
+    assert len(said) > 12
+    for statement in said:
+        parser.parsePlan(statement)

@@ -25,15 +25,15 @@ def uuid_of(text: Column) -> Column:
 
 
 def whole(text: Column) -> Column:
-    """A long over the full range."""
-    return F.xxhash64(text)
+    """A long over the full range: the last 16 hex digits of the text's md5 as a signed number."""
+    return F.conv(F.substring(F.md5(text), 17, 16), 16, -10).cast("long")
 
 
 def text_of(text: Column, low: int) -> Column:
     """Random letters, digits and symbols; their number is from low to 2 * low - 1."""
     pieces = -(-2 * low // 43)
     body = F.concat(*(F.base64(F.unhex(F.sha2(F.concat(text, F.lit(f"|{i}")), 256))) for i in range(pieces)))
-    return F.substr(body, F.lit(1), F.lit(low) + F.pmod(F.xxhash64(text), F.lit(low)).cast("int"))
+    return F.substr(body, F.lit(1), F.lit(low) + F.pmod(whole(text), F.lit(low)).cast("int"))
 
 
 def date_partitions(n: int, anchor: date) -> list[str]:

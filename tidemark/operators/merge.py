@@ -48,15 +48,31 @@ def _complete(on: tuple[str, ...], side: DataFrame) -> Column:
     return out
 
 
+#: Rows whose key has a NULL are dealt over so many groups; they never match, so it doesn't matter which.
+SPREAD = 1024
+_PART = "__part"
+
+
+def _parted(on: tuple[str, ...], side: DataFrame) -> DataFrame:
+    """With a column that is 0 where the key is complete and spreads the others, so that no task gets all rows without a key."""
+    return side.withColumn(_PART, F.when(_complete(on, side), 0).otherwise(F.pmod(F.xxhash64(*side.columns), F.lit(SPREAD)).cast("int")))
+
+
 def unique_source(source: DataFrame, spec: MergeSpec) -> DataFrame:
-    """The source with one row per complete key. Its shuffle and sort by key serve the join that follows."""
-    window = Window.partitionBy(*spec.on)
+    """The source with one row per complete key."""
+    return _unique(source, spec).drop(_PART)
+
+
+def _unique(source: DataFrame, spec: MergeSpec) -> DataFrame:
+    """unique_source with its column of parts: it is dealt by key and part already, as the join of _partial wants it."""
+    source = _parted(spec.on, source)
+    window = Window.partitionBy(*spec.on, _PART)
     complete = _complete(spec.on, source)
     if spec.duplicates == "raise":
         n = F.count(F.lit(1)).over(window)
         message = F.concat(F.lit("several source rows match on "), F.lit(", ".join(spec.on)))
         return source.withColumn("__n", n).where(F.when(complete & (F.col("__n") > 1), F.raise_error(message).cast("boolean")).otherwise(True)).drop("__n")
-    order = [F.desc_nulls_last(c) for c in spec.order if c in source.columns] + [F.asc(F.to_json(F.struct(*source.columns)))]
+    order = [F.desc_nulls_last(c) for c in spec.order if c in source.columns] + [F.asc(F.to_json(F.struct(*(c for c in source.columns if c != _PART))))]
     return source.withColumn("__n", F.row_number().over(window.orderBy(*order))).where((F.col("__n") == 1) | ~complete).drop("__n")
 
 
@@ -68,11 +84,12 @@ def merge(target: DataFrame, source: DataFrame, spec: MergeSpec) -> DataFrame:
     unknown = set(spec.update_columns) - set(target.columns)
     if unknown:
         raise ValueError(f"no such columns to update: {sorted(unknown)}")
-    source = unique_source(source.select(*target.columns), spec)
+    source = source.select(*target.columns)
+    # a target row goes if any source row has its key, so the keys need no check; each source row is checked once, where it is inserted
     if spec.mode is MergeMode.DELETE_INSERT:
-        return _without(target, source, spec.on).unionByName(_without(source, target, spec.on))
+        return _without(target, source, spec.on).unionByName(_without(unique_source(source, spec), target, spec.on))
     if not spec.update_columns:
-        return _without(target, source, spec.on).unionByName(source)
+        return _without(target, source, spec.on).unionByName(unique_source(source, spec))
     return _partial(target, source, spec)
 
 
@@ -87,9 +104,9 @@ def _without(left: DataFrame, right: DataFrame, on: tuple[str, ...]) -> DataFram
 
 def _partial(target: DataFrame, source: DataFrame, spec: MergeSpec) -> DataFrame:
     """Markers tell on which sides a row stands; a NULL test of a column could not, since columns may be NULL."""
-    t = target.select(*(F.col(c).alias(f"t_{c}") for c in target.columns), F.lit(True).alias("t_is"))
-    s = source.select(*(F.col(c).alias(f"s_{c}") for c in target.columns), F.lit(True).alias("s_is"))
-    condition = F.lit(True)
+    t = _parted(spec.on, target).select(*(F.col(c).alias(f"t_{c}") for c in target.columns), F.col(_PART).alias("t_part"), F.lit(True).alias("t_is"))
+    s = _unique(source, spec).select(*(F.col(c).alias(f"s_{c}") for c in target.columns), F.col(_PART).alias("s_part"), F.lit(True).alias("s_is"))
+    condition = t["t_part"] == s["s_part"]
     for c in spec.on:
         condition = condition & (t[f"t_{c}"] == s[f"s_{c}"])
     inserted = F.col("t_is").isNull()
@@ -103,7 +120,8 @@ def replay(target: DataFrame, batches: list[DataFrame], spec: MergeSpec) -> Data
     changes = tagged[0]
     for b in tagged[1:]:
         changes = changes.unionByName(b)
-    last = F.max("__v").over(Window.partitionBy(*spec.on))
+    changes = _parted(spec.on, changes)
+    last = F.max("__v").over(Window.partitionBy(*spec.on, _PART))
     complete = _complete(spec.on, changes)
-    kept = changes.withColumn("__last", last).where((F.col("__v") == F.col("__last")) | ~complete).drop("__v", "__last")
+    kept = changes.withColumn("__last", last).where((F.col("__v") == F.col("__last")) | ~complete).drop("__v", "__last", _PART)
     return _without(target, kept, spec.on).unionByName(kept)

@@ -17,14 +17,14 @@ def hash_order(seed: int | str, *ids: str | Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(i).cast("string") if isinstance(i, str) else i.cast("string") for i in ids)))
 
 
-def exact_sample(df: DataFrame, n: int, ids: Sequence[str] = ("key",), seed: int | str = 0) -> DataFrame:
+def exact_sample(df: DataFrame, n: int, ids: Sequence[str] = ("key",), seed: int | str = 0, gathered: int | None = None) -> DataFrame:
     """Exactly min(n, rows) rows: those first in hash order.
 
-    A large sample takes all rows whose hash is surely low enough, and ranks only the band about the boundary:
+    A sample of more than `gathered` rows (GATHERED by default) takes all rows whose hash is surely low enough, and ranks only the band about the boundary:
     no task gathers the n rows.
     """
     order = hash_order(seed, *ids)
-    if n <= GATHERED:
+    if n <= (GATHERED if gathered is None else gathered):
         return df.withColumn("__o", order).orderBy("__o", *ids).limit(n).drop("__o")
     prefix = F.conv(F.substring(F.col("__o"), 1, 4), 16, 10).cast("int")
     keyed = df.withColumn("__o", order).withColumn("__p", prefix)
@@ -39,11 +39,32 @@ def exact_sample(df: DataFrame, n: int, ids: Sequence[str] = ("key",), seed: int
     return df
 
 
+#: Ranges of the hash that a stratum's rows are counted in, as powers of 16.
+DIGITS = 3
+
+
 def stratified_quota(df: DataFrame, quotas: DataFrame, stratum: str, ids: Sequence[str] = ("key",), seed: int | str = 0) -> DataFrame:
-    """Exactly min(quota, rows) rows of each stratum, all strata in one pass. quotas: stratum and quota; others get none."""
-    joined = df.join(quotas.select(stratum, "quota"), stratum)
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(seed, *ids), *ids))
-    return joined.withColumn("__n", place).where("__n <= quota").drop("__n", "quota")
+    """Exactly min(quota, rows) rows of each stratum, those first in hash order. quotas: stratum and quota; others get none.
+
+    Rows of each range of the hash are counted first. Ranges below the one in which a stratum's quota ends are taken whole, and only rows in that one
+    are ranked: a stratum of any size is no single task, and no row is shuffled but those ranked.
+    """
+    spot, edge, most, left, place = "__o", "__edge", "__range", "__left", "__n"
+    order = hash_order(seed, *ids)
+    counts = df.select(stratum, F.substring(order, 1, DIGITS).alias(edge)).groupBy(stratum, edge).agg(F.count("*").alias(most))
+    upto = F.sum(most).over(Window.partitionBy(stratum).orderBy(edge).rowsBetween(Window.unboundedPreceding, 0))
+    wanted = quotas.select(F.col(stratum), F.col("quota").cast("long").alias("quota")).where("quota > 0")
+    # the first range that reaches the quota, else one above all; what is left to take of it
+    reached = counts.withColumn("upto", upto).join(wanted, stratum).groupBy(stratum).agg(
+        F.min(F.when(F.col("upto") >= F.col("quota"), F.col(edge))).alias(edge),
+        F.max("quota").alias("quota"),
+        F.coalesce(F.max(F.when(F.col("upto") < F.col("quota"), F.col("upto"))), F.lit(0)).alias("below"),
+    )
+    reached = reached.select(stratum, F.coalesce(edge, F.lit("g")).alias(edge), (F.col("quota") - F.col("below")).alias(left))
+    keyed = df.withColumn(spot, order).join(reached, stratum).withColumn(most, F.substring(spot, 1, DIGITS)).where(F.col(most) <= F.col(edge))
+    whole = keyed.where(F.col(most) < F.col(edge))
+    ranked = keyed.where(F.col(most) == F.col(edge)).withColumn(place, F.row_number().over(Window.partitionBy(stratum).orderBy(spot, *ids))).where(F.col(place) <= F.col(left)).drop(place)
+    return whole.unionByName(ranked).select(*df.columns)
 
 
 def ratio_sample(df: DataFrame, fractions: Mapping[str, float], stratum: str, seed: int = 0) -> DataFrame:

@@ -27,7 +27,7 @@ class IncrementalLoader:
         """All rounds; a round that fails after all its attempts ends the run. The summary is logged in any case."""
         c, service, failure = self.config, None, None
         if c.compaction_enabled:
-            service = CompactionService(self.table.compact, self.metrics, frequency=c.compaction_frequency, retry_delay=self._compaction_delay)
+            service = CompactionService(self.table.compact, self.metrics, frequency=self.table.compaction_every, retry_delay=self._compaction_delay)
         try:
             for round_no in range(c.start_round, c.start_round + c.rounds):
                 self.load_round(round_no)

@@ -12,6 +12,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import workload_queries
 from .functions import generators as g
 from .functions.distributions import cdf, distribution_matrix, draw_column, exact_zipf_quotas, exponential, file_count, split_round, zipf_quotas
 from .operators import sampling, shape
@@ -239,6 +240,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sorted_bulk_load": sorted_bulk_load,
     "run_metrics": run_metrics,
     "json_fields": json_fields,
+    **workload_queries.QUERIES,
 }
 
 _REPLAY = f"""
@@ -325,4 +327,5 @@ SQL: dict[str, str] = {
                CAST(sum(ms) FILTER (ok) AS BIGINT) AS total_ms, CAST(sum(ms) FILTER (ok) // count(*) FILTER (ok) AS BIGINT) AS average_ms FROM t GROUP BY kind
     """,
     "json_fields": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
+    **workload_queries.SQL,
 }

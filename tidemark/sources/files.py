@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,8 +50,23 @@ class Files:
             stream.close()
 
     def rename(self, old: str, new: str) -> bool:
-        """False if new is there already. Atomic on HDFS and local disks, not on object stores."""
-        return not self.exists(new) and self._fs.rename(self._path(old), self._path(new))
+        """False if new is there already. Of several writers one succeeds on HDFS and local disks; not so on object stores.
+
+        HDFS refuses an existing target in the rename itself. A local rename would replace it, so there the new name is a hard link,
+        which the file system makes only if the name is free.
+        """
+        if self.exists(new):
+            return False
+        if self._fs.getScheme() != "file":
+            return self._fs.rename(self._path(old), self._path(new))
+        here, there = (self._path(n).toUri().getPath() for n in (old, new))
+        os.makedirs(os.path.dirname(there), exist_ok=True)
+        try:
+            os.link(here, there)
+        except FileExistsError:
+            return False
+        self.delete(old)
+        return True
 
     def delete(self, name: str = "") -> bool:
         return self._fs.delete(self._path(name), True)
@@ -101,6 +116,3 @@ def load_longs(path: str) -> list[int]:
 def write_round(df: DataFrame, path: str, round_no: int, files: int) -> None:
     df.repartition(files).write.mode("overwrite").parquet(f"{path}/{round_no}")
 
-
-def columns_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*columns)

@@ -55,6 +55,7 @@ class Manifest:
     schema: str
     partition_by: str | None
     merge_on_read: bool
+    cluster_by: list[str] = field(default_factory=list)
     files: list[DataFile] = field(default_factory=list)
     deltas: list[Delta] = field(default_factory=list)
     tokens: dict[str, int] = field(default_factory=dict)
@@ -119,12 +120,17 @@ class SnapshotTable:
 
     # ------------------------------------------------------------ files
 
-    def _write(self, df: DataFrame, partition_by: str | None) -> list[DataFile]:
-        """New data files. The partition's name is in the folder and in the rows, so files can be read one by one with all columns."""
+    def _write(self, df: DataFrame, partition_by: str | None, cluster_by: Sequence[str] = ()) -> list[DataFile]:
+        """New data files. The partition's name is in the folder and in the rows, so files can be read one by one with all columns.
+
+        cluster_by orders the rows of each file, so that row groups cover narrow ranges of those columns and scans skip the others.
+        """
         folder = f"{DATA}/{uuid.uuid4().hex}"
-        writer = df.write
         if partition_by:
-            writer = df.withColumn(MARK, F.col(partition_by).cast("string")).write.partitionBy(MARK)
+            df = df.withColumn(MARK, F.col(partition_by).cast("string"))
+        if cluster_by:
+            df = df.sortWithinPartitions(*([MARK] if partition_by else []), *cluster_by)
+        writer = df.write.partitionBy(MARK) if partition_by else df.write
         writer.parquet(f"{self.path}/{folder}")
         out = []
         for name, size in self.files.tree(folder):
@@ -172,14 +178,14 @@ class SnapshotTable:
 
     # ------------------------------------------------------------ writing
 
-    def create(self, df: DataFrame, *, partition_by: str | None = None, merge_on_read: bool = False, token: str | None = None, replace: bool = False) -> None:
+    def create(self, df: DataFrame, *, partition_by: str | None = None, merge_on_read: bool = False, cluster_by: Sequence[str] = (), token: str | None = None, replace: bool = False) -> None:
         """The first version with the rows of df, or with `replace` the next one with these rows alone."""
-        files = self._write(df, partition_by)
+        files, cluster_by = self._write(df, partition_by, cluster_by), list(cluster_by)
         schema = df.schema.json()
         if not self.exists():
-            self._put(Manifest(1, schema, partition_by, merge_on_read, files, [], {token: 1} if token else {}))
+            self._put(Manifest(1, schema, partition_by, merge_on_read, cluster_by, files, [], {token: 1} if token else {}))
         elif replace:
-            self._commit(None, lambda m: Manifest(0, schema, partition_by, merge_on_read, files, [], {token: m.version + 1} if token else {}))
+            self._commit(None, lambda m: Manifest(0, schema, partition_by, merge_on_read, cluster_by, files, [], {token: m.version + 1} if token else {}))
         else:
             raise FileExistsError(self.path)
 
@@ -188,12 +194,12 @@ class SnapshotTable:
         if token is not None and token in m.tokens:
             return False
         schema = StructType.fromJson(json.loads(m.schema))
-        files = self._write(df.select(*schema.names), m.partition_by)
+        files = self._write(df.select(*schema.names), m.partition_by, m.cluster_by)
 
         def change(now: Manifest) -> Manifest:
             if now.deltas:
                 # deltas must not change rows that came after them, so they are folded into base files first
-                now.files = self._write(self._apply(now, self._frame(now, now.files), now.deltas), now.partition_by)
+                now.files = self._write(self._apply(now, self._frame(now, now.files), now.deltas), now.partition_by, now.cluster_by)
                 now.deltas = []
             now.files = [*now.files, *files]
             return now
@@ -212,7 +218,7 @@ class SnapshotTable:
         return self._merge_on_read(m, source, spec, token) if m.merge_on_read else self._commit(token, lambda now: self._rewritten(now, source, spec))
 
     def _merge_on_read(self, m: Manifest, source: DataFrame, spec: MergeSpec, token: str | None) -> bool:
-        files = self._write(unique_source(source, spec), m.partition_by)
+        files = self._write(unique_source(source, spec), m.partition_by, m.cluster_by)
 
         def change(now: Manifest) -> Manifest:
             now.deltas = [*now.deltas, Delta(now.version + 1, files, list(spec.on), spec.mode.value, list(spec.update_columns))]
@@ -235,7 +241,7 @@ class SnapshotTable:
                     condition = condition & (whole[c] == keys[f"__s_{c}"])
                 touched |= {r[0] for r in whole.join(keys, condition, "left_semi").select(F.col(by).cast("string")).distinct().collect()}
             old, rest = [f for f in m.files if f.partition in touched], [f for f in m.files if f.partition not in touched]
-        new = self._write(merge(self._frame(m, old), source, spec), by)
+        new = self._write(merge(self._frame(m, old), source, spec), by, m.cluster_by)
         m.files = [*rest, *new]
         return m
 
@@ -255,7 +261,7 @@ class SnapshotTable:
         packed = self._apply(seen, self._frame(seen, old), seen.deltas)
         pieces = max(1, -(-size // target_file_size))
         packed = packed.repartition(pieces, *([seen.partition_by] if seen.partition_by else [])) if pieces > 1 or seen.partition_by else packed.coalesce(1)
-        new = self._write(packed, seen.partition_by)
+        new = self._write(packed, seen.partition_by, seen.cluster_by)
         gone = {f.path for f in old}
         folded = {d.version for d in seen.deltas}
 

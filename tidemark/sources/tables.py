@@ -17,6 +17,7 @@ from ..operators.merge import MergeMode, MergeSpec
 from ..operators.shape import by_partition
 from ..plans.config import ApiType, LoaderConfig, OperationType, StorageFormat, WriteMode
 from . import catalog as c
+from .files import Files
 from .snapshot import SnapshotTable
 
 
@@ -29,6 +30,9 @@ class TableFormat(Protocol):
 
     def compact(self, force: bool = False) -> bool: ...
 
+    @property
+    def compaction_every(self) -> int: ...
+
 
 @contextmanager
 def scoped(spark: SparkSession, settings: Mapping[str, str]):
@@ -57,6 +61,11 @@ class _Base:
     def compact(self, force: bool = False) -> bool:
         return False
 
+    @property
+    def compaction_every(self) -> int:
+        """Commits from one look for work to the next."""
+        return self.config.compaction_frequency
+
     def sql(self, statement: str) -> DataFrame:
         self.statements.append(statement)
         return self.spark.sql(statement)
@@ -114,7 +123,7 @@ class DeltaFormat(_Base):
                 writer = writer.partitionBy(self.partition_by)
             if self.config.write_mode is WriteMode.MERGE_ON_READ:
                 writer = writer.option("delta.enableDeletionVectors", "true")
-            writer.save(self.path)
+            writer.options(**options).save(self.path)
             return
         from delta.tables import DeltaTable
 
@@ -201,6 +210,8 @@ class HudiFormat(_Base):
         if self.config.api is ApiType.SQL and round_no == self.config.start_round:
             if round_no == 0:
                 self.sql(c.drop_table(self.name))
+                # the table is external, so its files outlive it
+                Files(self.spark, self.path).delete()
             kind = "cow" if self.config.write_mode is WriteMode.COPY_ON_WRITE else "mor"
             self.sql(c.create_table(self.name, df.schema, "hudi", self.path, partition_by=self.partition_by, properties={"primaryKey": "key", "type": kind} | dict(self.config.initial_options)))
 
@@ -220,6 +231,11 @@ class HudiFormat(_Base):
     def read(self) -> DataFrame:
         return self.spark.read.format("hudi").load(self.path)
 
+    @property
+    def compaction_every(self) -> int:
+        """The writer plans compactions by its own count of commits; one may wait after any of them."""
+        return 1
+
     def pending(self) -> str | None:
         """The oldest compaction instant that waits; None if there is none or the timeline can't be read."""
         try:
