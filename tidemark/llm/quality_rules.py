@@ -1,36 +1,49 @@
 """Quality rules with adaptive thresholds.
 
-Each document's measures (`MEASURES`) go into KLL sketches for each language and source; sketches of
-sources merge to one for each language and one for all. A document is judged by the sketch of its language
-and source if that has seen `least_rows` documents, else by that of its language, else by that of all. Word
-length passes from Q1 - `spread` * (Q3 - Q1) - its slack to Q3 + `spread` * (Q3 - Q1) + its slack. A share passes up to its slack
-above the larger of two: Q2 + (2 * `spread` + 1) * (Q2 - Q1), which is the same fence for even halves, at most the larger 0.95 quantile
+Each document's measures (`MEASURES`), and how many words and lines it has, go into quantile sketches for each language
+and source. A sketch is a log-linear histogram: a value, in units of 2 ** -16, is counted under its `bits` leading binary digits. So
+a quantile is found from below within a relative error of 2 ** (1 - bits), a sketch has at most 64 * 2 ** (bits - 1) counts whatever it has seen,
+and sketches merge by adding counts: exactly, in any order, with the same result in every run. Sketches of sources merge
+to one for each language and one for all.
+
+A document is judged by the sketch of its language and source if that has seen `least_rows` documents, else by that of its language,
+else by that of all. Word length passes from Q1 - `spread` * (Q3 - Q1) to Q3 + `spread` * (Q3 - Q1). A share passes up to
+
+    T + chance / min(own size, median size).
+
+T is the larger of two: Q2 + (2 * `spread` + 1) * (Q2 - Q1), which for even halves is the same fence, at most the larger 0.95 quantile
 of the language and of all; and the least 0.8 quantile of the group, its language and all. So junk in less than half of a group does
-not widen its fence, nor does more where the wider groups are clean. Where these quantiles are 0, the slack alone decides.
+not widen its fence, nor does more where the wider groups are clean. The second term is a few single things that any text may have (`CHANCE`: two symbols, two repeated lines, the eighteen words of three windows
+that stand twice), as a share of the document or of the group's median document, whichever is smaller. So no share is cut at a fixed value: a fence is made of
+quantiles, `spread` and these counts.
 Documents meet their thresholds in a join.
 
 Only DataFrame functions are used. Measures are written once to the shared folder, narrow, and both the
 sketches and the join read them from there; texts are read once and never shuffled.
 
-Defined cases: null and blank texts have 0 words and fail the base rule; null language or source is a group of
-its own; repeated rows are judged alike; sketches draw at random, so thresholds may differ between
-runs within the sketch's rank error (about 1 / `k`); columns of other names are neither read nor returned; an
+Defined cases: null, empty and blank texts have 0 words and fail the base rule; very long texts are measured whole; a value on its fence
+passes, so documents that tie there are all kept; null language or source is a group of
+its own; repeated rows are judged alike, and each counts in the sketches; columns of other names are neither read nor returned; an
 empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 from .native import BLANKS, blank_words, let, total
 
-#: Measure: slack added to its fence. All are at least 0.
-MEASURES = {"symbol_share": 0.2, "repeat_share": 0.25, "dup_line_share": 0.35, "word_length": 1.5}
-#: Measures of which only much is bad. Their tails: of the group, its language and all; and the bound of a group by the wider ones.
-SHARES, TAIL, WIDE = ("symbol_share", "repeat_share", "dup_line_share"), 0.8, 0.95
-LEAST_ROWS, SPREAD, SKETCH_K = 200, 3.0, 800
+#: Measure: its numerator and denominator.
+MEASURES = {"symbol_share": ("n_symbols", "n_words"), "repeat_share": ("n_repeat_words", "n_words"), "dup_line_share": ("n_dup_lines", "n_lines"), "word_length": ("word_chars", "n_words")}
+#: Measures of which only much is bad, with what any text may have of them.
+CHANCE = {"symbol_share": 2, "repeat_share": 18, "dup_line_share": 2}
+SIZES = ("n_words", "n_lines")
+#: Per cent. Shares: tails of the group, its language and all; and the bound of a group by the wider ones.
+TAIL, WIDE = 80, 95
+QUANTILES = (25, 50, 75, TAIL, WIDE)
+LEAST_ROWS, SPREAD, BITS, SCALE = 200, 3.0, 9, 1 << 16
 MIN_WORDS, MOST_REPEATED = 50, 50
 
 
@@ -80,51 +93,75 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def shares(measured: DataFrame) -> DataFrame:
-    per_word = lambda c: F.col(c) / F.greatest(F.col("n_words"), F.lit(1))
-    return measured.withColumns({
-        "symbol_share": per_word("n_symbols"),
-        "repeat_share": per_word("n_repeat_words"),
-        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "word_length": per_word("word_chars"),
-    })
-
-
-def thresholds(measured: DataFrame, *, least_rows: int = LEAST_ROWS, spread: float = SPREAD, k: int = SKETCH_K) -> DataFrame:
-    """For each lang and source of the documents: which level judges it, and low and high of each measure."""
-    own = shares(measured).groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(m, F.lit(k)).alias(m) for m in MEASURES))
-    own = stored(own, "rules-sketches")
-    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(m, F.lit(k)).alias(m) for m in MEASURES)]
-    lang = own.groupBy("lang").agg(*merged)
-    every = own.groupBy().agg(*merged)
-    rename = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns))
-    all_ = own.join(rename(lang, "l"), F.col("lang").eqNullSafe(F.col("l_lang"))).join(F.broadcast(rename(every, "e")))  # one row
+    return measured.withColumns({m: F.col(n) / F.greatest(F.col(d), F.lit(1)) for m, (n, d) in MEASURES.items()})
+
+
+def sketch_bin(value: Column, bits: int) -> Column:
+    """The least whole number with the same `bits` leading binary digits and length."""
+    cut = F.greatest(F.length(F.bin(value)) - bits, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", value, cut), cut)
+
+
+def sketches(measured: DataFrame, *, bits: int = BITS) -> DataFrame:
+    """lang, source, measure, bin and n: the counts of every sketch. Counting starts before the shuffle, so a hot source is a few rows of each task."""
+    scaled = {m: F.floor(F.col(n) * SCALE / F.greatest(F.col(d), F.lit(1))) for m, (n, d) in MEASURES.items()} | {s: F.col(s) * SCALE for s in SIZES}
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), sketch_bin(v.cast("long"), bits).alias("bin")) for m, v in scaled.items())))
+    return measured.select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.measure", "x.bin").agg(F.count("*").alias("n"))
+
+
+def merged(counts: DataFrame, *keys: str) -> DataFrame:
+    """Sketches of wider groups."""
+    return counts.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
+
+
+def quantiles(counts: DataFrame, *keys: str, rows: str, prefix: str) -> DataFrame:
+    """A row for each group with its number of documents and <prefix>_<measure>_<per cent>: the value of that rank, from below."""
+    group = Window.partitionBy(*keys, "measure")
+    ranked = counts.withColumns({"upto": F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(group)})
+    wanted = lambda m: ((50,) if m in SIZES else QUANTILES)
+    found = [F.min(F.when((F.col("measure") == m) & (F.col("upto") * 100 >= F.col("all") * p), F.col("bin") / SCALE)).alias(f"{prefix}_{m}_{p}") for m in (*MEASURES, *SIZES) for p in wanted(m)]
+    return ranked.groupBy(*keys).agg(F.max("all").alias(rows), *found)
+
+
+def thresholds(measured: DataFrame, *, least_rows: int = LEAST_ROWS, spread: float = SPREAD, bits: int = BITS) -> DataFrame:
+    """For each lang and source of the documents: which level judges it, low and high of each measure (for shares, their T), and the median sizes."""
+    counts = stored(sketches(measured, bits=bits), "rules-sketches")
+    lang_counts = stored(merged(counts, "lang"), "rules-langs")
+    own = quantiles(counts, "lang", "source", rows="n", prefix="s")
+    lang = quantiles(lang_counts, "lang", rows="l_n", prefix="l").withColumnRenamed("lang", "l_lang")
+    every = quantiles(merged(lang_counts), rows="e_n", prefix="e")
+    met = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang"))).join(F.broadcast(every))  # one row
     level = F.when(F.col("n") >= least_rows, "source").when(F.col("l_n") >= least_rows, "lang").otherwise("all")
-    out = all_.withColumn("level", level)
+    out = met.withColumn("level", level)
+
+    def q(m: str, p: int) -> Column:
+        return F.when(F.col("level") == "source", F.col(f"s_{m}_{p}")).when(F.col("level") == "lang", F.col(f"l_{m}_{p}")).otherwise(F.col(f"e_{m}_{p}"))
 
     def fences(m: str) -> list[Column]:
-        sketch = F.when(F.col("level") == "source", F.col(m)).when(F.col("level") == "lang", F.col(f"l_{m}")).otherwise(F.col(f"e_{m}"))
-        q = lambda s, p: F.kll_sketch_get_quantile_double(s, F.lit(p))
-        own = lambda p: q(sketch, p)
-        step = spread * (own(0.75) - own(0.25)) + MEASURES[m]
-        if m not in SHARES:
-            return [(own(0.25) - step).alias(f"{m}_low"), (own(0.75) + step).alias(f"{m}_high")]
-        every = q(F.col(f"e_{m}"), TAIL), q(F.col(f"e_{m}"), WIDE)
-        lang = [F.when(F.col("l_n") >= least_rows, q(F.col(f"l_{m}"), p)).otherwise(e) for p, e in zip((TAIL, WIDE), every, strict=True)]
+        if m not in CHANCE:
+            step = spread * (q(m, 75) - q(m, 25))
+            return [(q(m, 25) - step).alias(f"{m}_low"), (q(m, 75) + step).alias(f"{m}_high")]
+        wider = lambda p: F.when(F.col("l_n") >= least_rows, F.col(f"l_{m}_{p}")).otherwise(F.col(f"e_{m}_{p}"))
         # the lower half's spread: less than half of junk in a group moves neither
-        body = F.least(own(0.5) + (2 * spread + 1) * (own(0.5) - own(0.25)), F.greatest(lang[1], every[1]))
-        tail = F.least(own(TAIL), lang[0], every[0])
-        return [F.lit(-1.0).alias(f"{m}_low"), (F.greatest(body, tail) + MEASURES[m]).alias(f"{m}_high")]
+        body = F.least(q(m, 50) + (2 * spread + 1) * (q(m, 50) - q(m, 25)), F.greatest(wider(WIDE), F.col(f"e_{m}_{WIDE}")))
+        tail = F.least(q(m, TAIL), wider(TAIL), F.col(f"e_{m}_{TAIL}"))
+        return [F.greatest(body, tail).alias(f"{m}_high")]
 
-    return out.select("lang", "source", "level", *(c for m in MEASURES for c in fences(m)))
+    return out.select("lang", "source", "level", *(c for m in MEASURES for c in fences(m)), *(q(s, 50).alias(f"{s}_median") for s in SIZES))
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_rows: int = LEAST_ROWS, spread: float = SPREAD, k: int = SKETCH_K) -> DataFrame:
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_rows: int = LEAST_ROWS, spread: float = SPREAD, bits: int = BITS) -> DataFrame:
     """Measures of each row of docs with base_failed, kept, failed (the measures that broke a fence) and level."""
     measured = stored(measure(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col), "rules-measures")
-    fences = thresholds(measured, least_rows=least_rows, spread=spread, k=k)
+    fences = thresholds(measured, least_rows=least_rows, spread=spread, bits=bits)
     fences = fences.withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
     met = shares(measured).join(fences, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")))
-    broken = [F.when(F.col(m) > F.col(f"{m}_high"), m) for m in MEASURES] + [F.when(F.col("word_length") < F.col("word_length_low"), "word_length_low")]
+
+    def high(m: str) -> Column:
+        size = MEASURES[m][1]
+        return F.col(f"{m}_high") + (CHANCE[m] / F.greatest(F.least(F.col(size), F.col(f"{size}_median")), F.lit(1.0)) if m in CHANCE else 0.0)
+
+    broken = [F.when(F.col(m) > high(m), m) for m in MEASURES] + [F.when(F.col("word_length") < F.col("word_length_low"), "word_length_low")]
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     failed = F.array_compact(F.array(*broken))
     return met.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & (F.size(failed) == 0)).alias("kept"), failed.alias("failed"), "level")
