@@ -11,6 +11,7 @@ from . import cube_mixing, knn_quality, language_mixture, license_index, qgram_d
 from .common import held_out
 from .license_sql import license_sql
 from .order_minhash import near_duplicates
+from .quality_sql import quality_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,15 +97,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_quality_rules": quality_sql(),
     "op2_license_index": license_sql(),
     "op4_warc": """
         WITH p AS (
           SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages
-        ), f AS (SELECT d, n, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d, n)
-        SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
-               CASE WHEN f.first_id < p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN f.first_id < p.page_id THEN f.first_id END AS refers_to
-        FROM p LEFT JOIN f ON p.d = f.d AND p.n = f.n
+        ), q AS (
+          SELECT *, n >= 100 AND row_number() OVER (PARTITION BY d, n ORDER BY page_id NULLS LAST) > 1 AS again, min(page_id) OVER (PARTITION BY d, n) AS first_id FROM p
+        )
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN again THEN first_id END AS refers_to FROM q
     """,
     "op6_url_sweep": """
         WITH r(h, t, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
