@@ -27,7 +27,7 @@ import random
 import string
 from collections.abc import Callable
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -154,12 +154,28 @@ def candidates(text: Column) -> Column:
     return F.when(F.size(found) == 0, F.array().cast("array<struct<value:string,start:int,before:string,after:string>>")).otherwise(let(found, placed))
 
 
+#: Names, words and paths of the generated findings.
+FINDING_SECRETS = """token secret password db_password aws_secret_access_key slack_token stripe_secret_key jwt_secret github_token smtp_passwd redis_password
+client_secret api_key x-api-key auth_token private_key encryption_secret signing_secret service_credentials master_pwd admin_password session_token
+webhook_secret app_secret ftp_password bearer authorization access_key npm_token ssh_passphrase refresh_token""".split()
+FINDING_OTHERS = """commit git_sha etag request_id trace_id session_uuid build_hash sha256sum order_no tracking_number invoice_id isbn serial_no card phone
+app_version image_digest span_id object_id revision checksum md5 content_hash integrity ref guid crc fingerprint""".split()
+FINDING_WORDS = """after again along apple around autumn bakery balance basket beyond bottle branch bridge bright camera candle captain carpet castle
+chapter circle coffee corner cotton cousin dancer danger desert dinner doctor dragon engine evening family farmer father finger flower forest friend
+garden gentle ginger glass guitar hammer harbor honest hotel hunter island jacket jungle kitchen ladder lantern lemon letter little market meadow
+merchant middle mirror morning mother mountain museum needle ocean office orange oxygen painter palace paper parade pencil people pepper picture
+pillow planet player pocket police prince purple rabbit record ribbon river rocket safety sailor salmon school season shadow silver singer sister
+smooth spider spring square station stone summer sunset teacher ticket timber travel turtle valley velvet village violin walnut water weather
+window winter wonder yellow zebra server user handler config builder manager response request session buffer parser stream""".split()
+FINDING_EXAMPLES = ["tests/unit", "test/api", "docs/guide", "doc/manual", "examples/basic", "sample/app", "spec/fixtures", "fixture/users", "mocks/server", "mock/data", "demo/web", "samples/cli", "example/readme"]
+
+
 def labelled_findings(seed: int = SEED, each: int = 250) -> list[tuple[str, str, str, str, int]]:
-    """Findings as triage labels them: secrets of usual shapes after naming words, and what looks alike but is none."""
+    """Findings as triage labels them: secrets of usual shapes after usual names, and what looks alike but is none. Their words are lists of their own, not the features'."""
     draw = random.Random(seed)
     pick = lambda alphabet, n: "".join(draw.choices(alphabet, k=n))
     hexes, alnum, base64 = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
-    word = lambda: draw.choice(DICTIONARY)
+    word = lambda: draw.choice(FINDING_WORDS)
     path = lambda: draw.choice(["src/main", "config/prod", "deploy", "src7", "src12", "notes", "web", ""])
     join = lambda: draw.choice([" = \"", "=", ": ", ": \"", " = '", "=\"", " := \""])
     close = lambda j: {"\"": "\"", "'": "'"}.get(j[-1], draw.choice(["", "\n", " ", ";"]))
@@ -172,7 +188,7 @@ def labelled_findings(seed: int = SEED, each: int = 250) -> list[tuple[str, str,
         rows.append((value, (prose() + case(named) + j)[-BEFORE:], close(j) + draw.choice(["", " " + word(), "\n", "!!"]), path() if where is None else where, label))
 
     for _ in range(each):
-        secret = lambda: draw.choice(SECRET_WORDS)
+        secret = lambda: draw.choice(FINDING_SECRETS)
         for name in (secret(), word() + "_" + secret(), draw.choice(["clientSecret", "accessToken", "dbPassword", "apiKey", "CLIENT2_SECRET", "SECRET_ACCESS_KEY"])):
             add(case(pick(hexes, draw.choice([32, 40, 40, 64]))), name, 1)
         add(pick(alnum, draw.randint(20, 44)) + "7", draw.choice(["", word() + "_"]) + secret(), 1)
@@ -224,7 +240,7 @@ def labelled_findings(seed: int = SEED, each: int = 250) -> list[tuple[str, str,
         rows.append((name.upper() if draw.random() < 0.5 else name, prose()[-BEFORE:], join() + pick(hexes, 10), path(), 0))
         rows.append((pick(string.digits + "abcdef", 16), (f"{secret()}{join()}{pick(alnum, 12)}\" {word()} ")[-BEFORE:], " " + word(), path(), 0))
         # digests, revisions, identifiers and numbers
-        add(pick(hexes, draw.choice([32, 40, 64])), draw.choice(OTHER_WORDS), 0)
+        add(pick(hexes, draw.choice([32, 40, 64])), draw.choice(FINDING_OTHERS), 0)
         rows.append((pick(string.digits, draw.choice([16, 16, 18, 20])), prose()[-BEFORE:], " " + word(), path(), 0))
         rows.append(("-".join(pick(hexes, n) for n in (8, 4, 4, 4, 12)), (prose() + draw.choice(["uuid=", "id: ", ""]))[-BEFORE:], " ", path(), 0))
         rows.append(("_".join(word() for _ in range(4)) + pick(string.digits, 1), (prose() + draw.choice(["", "token = ", "import "]))[-BEFORE:], "\n", path(), 0))
@@ -232,13 +248,18 @@ def labelled_findings(seed: int = SEED, each: int = 250) -> list[tuple[str, str,
         rows.append((draw.choice(["x" * 20 + "1", "1234567890123456", "your-api-token-here1", "example-secret-value-0", "0" * 32]), (prose() + secret() + join())[-BEFORE:], "\"", path(), 0))
         shapes = [pick(alnum, 20) + "1", pick(hexes, draw.choice([32, 40, 64])), pick(base64, 32) + "4=", "AKIA" + pick(alnum, 24) + "1"]
         for value in shapes:
-            rows.append((value, (prose() + secret() + join())[-BEFORE:], "\"", draw.choice(EXAMPLE_PATHS) + "/" + word(), 0))
+            rows.append((value, (prose() + secret() + join())[-BEFORE:], "\"", draw.choice(FINDING_EXAMPLES), 0))
         rows.append((pick(hexes, draw.choice([32, 40])), prose()[-BEFORE:], " " + word(), path(), 0))
     return rows
 
 
 def train(spark: SparkSession, findings: DataFrame | None = None, *, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, most_findings: int = MOST_FINDINGS) -> Callable[[Column], Column]:
     """A function from a struct of FEATURES to the probability of a secret."""
+    return train_model(spark, findings, trees=trees, depth=depth, seed=seed, most_findings=most_findings)[0]
+
+
+def train_model(spark: SparkSession, findings: DataFrame | None = None, *, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, most_findings: int = MOST_FINDINGS) -> tuple[Callable[[Column], Column], RandomForestClassificationModel]:
+    """train() with the model that its trees were read from."""
     if findings is None:
         findings = spark.createDataFrame(labelled_findings(seed), "value string, before string, after string, path string, label int")
     clean = findings.where("value is not null and label is not null").orderBy(F.xxhash64("value", "before", "label"), "value", "before", "label").limit(most_findings)
@@ -258,7 +279,7 @@ def train(spark: SparkSession, findings: DataFrame | None = None, *, trees: int
         return FEATURES[split.featureIndex()], float(split.threshold()), grown(node.leftChild()), grown(node.rightChild())
 
     forest = [grown(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode")) for t in model.trees]
-    return lambda f: vote(forest, f)
+    return lambda f: vote(forest, f), model
 
 
 def vote(forest: list, f: Column) -> Column:
