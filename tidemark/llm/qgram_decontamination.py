@@ -31,6 +31,10 @@ from pyspark.sql import functions as F
 from .common import WORD_BYTE, as_text, free_name, text_bytes, with_struct
 
 Q, BUDGET, BLOCK_BYTES, ROWS = 8, 0.1, 2 << 20, 256
+#: Places of q-grams that are dealt to bands at a time.
+CELLS = 1 << 20
+#: Bytes from which on a text is searched in pieces.
+PIECE = 1 << 19
 _TABLE_BITS = 22
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 HITS = "array<struct<item_id:long,start:int,end:int,edits:int,similarity:double>>"
@@ -54,10 +58,14 @@ class Index:
     texts: list[bytes]
     edits: np.ndarray
     needed: np.ndarray
+    #: every different q-gram; those of number g are entries starts[g] to starts[g + 1] of the three arrays after it
     grams: np.ndarray
     starts: np.ndarray
     item: np.ndarray
-    at: np.ndarray
+    #: how often the item has the q-gram, and a run of places that fall in the same bands as all of its places
+    often: np.ndarray
+    first: np.ndarray
+    place: np.ndarray
     short: list[int]
 
 
@@ -79,13 +87,32 @@ def build_index(rows: list, q: int, budget: float) -> Index:
             texts.append(body)
     width = np.array([len(t) for t in texts], np.int64)
     edits = np.maximum(np.minimum(np.floor(budget * width), np.floor((width - q) / q)), 0).astype(np.int64)
-    codes = [grams_of(np.frombuffer(t + b"\0" * 8, np.uint8), q)[: len(t) - q + 1] if len(t) >= q else np.zeros(0, np.uint64) for t in texts]
-    sizes = [len(c) for c in codes]
-    flat = np.concatenate([*codes, np.zeros(0, np.uint64)])
-    item, place = np.repeat(np.arange(len(texts)), sizes), np.concatenate([*(np.arange(n) for n in sizes), np.zeros(0, np.int64)])
-    order = np.argsort(flat, kind="stable")
-    grams, starts = np.unique(flat[order], return_index=True)
-    return Index(ids, texts, edits, width + 1 - q - q * edits, grams, np.append(starts, len(flat)), item[order], place[order], [i for i, t in enumerate(texts) if len(t) < q])
+    entries: list[tuple[int, int, list[int], int]] = []
+    for i, t in enumerate(texts):
+        if len(t) < q:
+            continue
+        own = grams_of(np.frombuffer(t + b"\0" * 8, np.uint8), q)[: len(t) - q + 1]
+        order = np.argsort(own, kind="stable")
+        codes, at = np.unique(own[order], return_index=True)
+        for code, spots in zip(codes.tolist(), np.split(order, at[1:]), strict=True):
+            entries.append((code, i, thinned(spots.tolist(), int(edits[i]) + 1), len(spots)))
+    entries.sort(key=lambda e: e[:2])
+    grams, starts = np.unique(np.array([e[0] for e in entries], np.uint64), return_index=True)
+    first = np.cumsum([0, *(len(e[2]) for e in entries)])
+    return Index(ids, texts, edits, width + 1 - q - q * edits, grams, np.append(starts, len(entries)), np.array([e[1] for e in entries], np.int64), np.array([e[3] for e in entries], np.int64), first, np.array([x for e in entries for x in e[2]], np.int64), [i for i, t in enumerate(texts) if len(t) < q])
+
+
+def thinned(spots: list[int], step: int) -> list[int]:
+    """Places, in order, of which none can be left out: cells of `step` diagonals that any place falls in have one of these.
+
+    Of places with gaps of at most `step`, cells have one everywhere between the first and the last; so where a q-gram repeats,
+    places about `step` apart stand for all.
+    """
+    out = spots[:1]
+    for here, ahead in zip(spots[1:], [*spots[2:], None]):  # noqa: B905
+        if ahead is None or ahead - out[-1] > step:
+            out.append(here)
+    return out
 
 
 def align(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
@@ -136,30 +163,46 @@ def _kernel(index: Index, q: int):
         doc = np.searchsorted(at, hit, "right") - 1
         same = hit + q <= at[doc + 1]
         hit, found, doc = hit[same], found[same], doc[same]
+        # each q-gram of the text with each item that has it
         many = index.starts[found + 1] - index.starts[found]
         row = np.repeat(np.arange(len(hit)), many)
-        post = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + index.starts[found][row]
-        pair = doc[row] * n_items + index.item[post]
+        entry = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + index.starts[found][row]
         # first without diagonals: most pairs of document and item share too few q-grams anywhere
+        pair = doc[row] * n_items + index.item[entry]
         keys, inverse, counts = np.unique(pair, return_inverse=True, return_counts=True)
         good = (counts >= index.needed[keys % n_items])[inverse]
-        pair, item, at_item, diagonal = pair[good], index.item[post[good]], index.at[post[good]], (hit[row] - index.at[post])[good]
+        pair, entry, spot = pair[good], entry[good], hit[row[good]]
         if not len(pair):
             return []
-        step = index.edits[item] + 1
         shift = int(widths.max()) + 1
-        low = (diagonal + shift) // step
         span = (len(data) + 2 * shift) + 2
-        keys, inverse, counts = np.unique(np.concatenate((pair * span + low, pair * span + low - 1)), return_inverse=True, return_counts=True)
-        good = (counts >= index.needed[keys // span % n_items])[inverse]
-        # a q-gram of the item counts once in a band, however often the text repeats it there
-        once = np.unique(np.stack((inverse[good], np.concatenate((at_item, at_item))[good])), axis=1)[0] if good.any() else np.zeros(0, int)
-        band, counts = np.unique(once, return_counts=True)
-        pair, low = keys[band] // span, keys[band] % span
+        bands: list[np.ndarray] = []
+        # about CELLS places at a time, with the next q-grams of the pair that a band begun here can reach
+        order = np.argsort(pair, kind="stable")
+        pair, entry, spot = pair[order], entry[order], spot[order]
+        load = np.cumsum(index.first[entry + 1] - index.first[entry])
+        reach = (pair * span + spot) + (widths + 2 * index.edits + 2)[index.item[entry]]
+        upto = np.searchsorted(pair * span + spot, np.minimum(reach, pair * span + span - 1), "right")
+        begin = 0
+        while begin < len(pair):
+            end = max(begin + 1, int(np.searchsorted(load, (load[begin - 1] if begin else 0) + CELLS, "right")))
+            n, h, p = (x[begin : upto[end - 1]] for x in (entry, spot, pair))
+            begin = end
+            many = index.first[n + 1] - index.first[n]
+            row = np.repeat(np.arange(len(n)), many)
+            at_item = index.place[np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + index.first[n][row]]
+            low = (h[row] - at_item + shift) // (index.edits[index.item[n]] + 1)[row]
+            keys, which = np.unique(np.concatenate((p[row] * span + low, p[row] * span + low - 1)), return_inverse=True)
+            # a q-gram of the text counts once in a band, and equal ones count as often as the item has them at most
+            once = np.unique(which * len(n) + np.concatenate((row, row)))
+            letters, counts = np.unique(once // len(n) * len(index.item) + n[once % len(n)], return_counts=True)
+            shared = np.bincount(letters // len(index.item), np.minimum(counts, index.often[letters % len(index.item)]), len(keys))
+            bands.append(keys[shared >= index.needed[keys // span % n_items]])
+        band = np.unique(np.concatenate(bands))
+        pair, low = band // span, band % span
         item, doc = pair % n_items, pair // n_items
-        good = counts >= index.needed[item]
         out: list[tuple[int, int, int, int]] = []
-        for d, i, b in sorted(zip(doc[good].tolist(), item[good].tolist(), low[good].tolist(), strict=True)):
+        for d, i, b in sorted(zip(doc.tolist(), item.tolist(), low.tolist(), strict=True)):
             e, w = int(index.edits[i]), int(widths[i])
             first = b * (e + 1) - shift
             start, stop = max(int(at[d]), first - e), min(int(at[d + 1]), first + 2 * (e + 1) + w + e)
@@ -169,7 +212,8 @@ def _kernel(index: Index, q: int):
                 out.append((d, i, start, stop))
         return out
 
-    def run(texts: pa.Array) -> list[pa.Array]:
+    def places(texts: pa.Array, cut: bool) -> list[list[tuple]]:
+        """(item, edits, start, end) of all hits of each text, in code points. cut: the text is a piece, whose ends bound no word."""
         data, at, place, raw = normalised(texts)
         found: list[list] = [[] for _ in range(len(texts))]
         for d, i, start, stop in regions(data, at):
@@ -186,21 +230,49 @@ def _kernel(index: Index, q: int):
             p = whole.find(body)
             while p >= 0:
                 d = int(np.searchsorted(at, p, "right")) - 1
-                if p + len(body) <= at[d + 1]:
+                if p + len(body) <= at[d + 1] and not (cut and (p == at[d] or p + len(body) == at[d + 1])):
                     found[d].append((i, 0, p + 1, p + len(body) - 1))
                 p = whole.find(body, p + 1)
         if any(found):
             letters = np.cumsum((raw & 0xC0) != 0x80)
         out = []
         for d, hits in enumerate(found):
+            base = int(letters[place[at[d]]]) if hits else 0
+            out.append([(i, e, int(letters[place[s]]) - base - 1, int(letters[place[t - 1]]) - base) for i, e, s, t in hits if t > s])
+        return out
+
+    def run(texts: pa.Array) -> list[pa.Array]:
+        long = len(texts) == 1 and len(texts.buffers()[2] or b"") > PIECE and pc.binary_length(texts)[0].as_py() > PIECE
+        found = [in_pieces(texts[0].as_py())] if long else places(texts, False)
+        out = []
+        for hits in found:
             kept: list = []
-            for i, e, s, t in sorted(hits, key=lambda h: (h[0], h[1], h[2], h[3])):
-                if t > s and not any(k[0] == i and s < k[3] and k[2] < t for k in kept):
+            last: dict[int, list] = {}
+            for i, e, s, t in sorted(set(hits)):
+                # by item, edits and place: of overlapping places the best stays
+                if not any(s < k[1] and k[0] < t for k in last.get(i, ())):
+                    last.setdefault(i, []).append((s, t))
                     kept.append((i, e, s, t))
-            base = int(letters[place[at[d]]]) if kept else 0
-            out.append([{"item_id": index.ids[i], "start": int(letters[place[s]]) - base - 1, "end": int(letters[place[t - 1]]) - base, "edits": e, "similarity": 1 - e / len(index.texts[i])} for i, e, s, t in sorted(kept, key=lambda h: (h[2], h[0]))])
+            out.append([{"item_id": index.ids[i], "start": s, "end": t, "edits": e, "similarity": 1 - e / len(index.texts[i])} for i, e, s, t in sorted(kept, key=lambda h: (h[2], h[0]))])
         return [pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32()), ("similarity", pa.float64())])))]
 
+    def in_pieces(text: str) -> list[tuple]:
+        """Hits of a long text from pieces that overlap by more than any hit's length and what lies between its words."""
+        size = PIECE // 4
+        found, begin = [], 0
+        while begin < len(text):
+            stop, whole = begin + size, 0
+            # the overlap holds as many word characters as the longest hit
+            while stop < len(text) and whole <= overlap:
+                ahead = text[stop : stop + 2 * overlap]
+                whole += int(WORD_BYTE[np.frombuffer(ahead.encode(errors="surrogatepass"), np.uint8)].sum())
+                stop += len(ahead)
+            found += [(i, e, begin + s, begin + t) for i, e, s, t in places(as_text(pa.array([text[begin:stop]])), True)[0]]
+            begin += size
+        return found
+
+    overlap = int((widths + 2 * index.edits).max(initial=0)) + 2 * q
+
     return run
 
 
