@@ -55,22 +55,13 @@ def brute_classes(data):
             i = parent[i]
         return i
 
-    def kmers(w):
-        seen, out = {}, set()
-        for j in range(max(1, len(w) - 4)):
-            s = w[j : j + 5]
-            seen[s] = seen.get(s, 0) + 1
-            out.add((s, seen[s]))
-        return out
-
-    sets = {i: kmers(w) for i, (w, _) in texts.items()}
     for a, b in itertools.combinations(texts, 2):
         (wa, ta), (wb, tb) = texts[a], texts[b]
         if not wa or not wb:
             same = bool(ta) and ta == tb
         else:
-            both = len(sets[a] & sets[b])
-            same = wa == wb or both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) and distance(wa, wb) <= 0.2 * max(len(wa), len(wb))
+            most = int(0.2 * max(len(wa), len(wb)) + 1e-9)
+            same = wa == wb or abs(len(wa) - len(wb)) <= most and distance(wa, wb) <= most
         if same:
             parent[max(top(a), top(b))] = min(top(a), top(b))
     return {i: top(i) for i in texts}
@@ -121,6 +112,50 @@ def test_large_group_of_near_copies(spark):
     assert got == brute_classes(data)
 
 
+def test_spread_edits(spark):
+    """Substitutions spread over a text are edits, however many of its five-word runs they touch."""
+    words = [f"w{i}" for i in range(100)]
+    data = [(0, " ".join(words), None, None, 0)]
+    for n in (2, 4, 8, 12):
+        data.append((n, " ".join(f"x{n}_{i}" if i % (100 // n) == 3 and i // (100 // n) < n else w for i, w in enumerate(words)), None, None, 0))
+    data.append((50, " ".join(words[50:] + words[:50]), None, None, 0))
+    got = {r.doc_id: r.class_id for r in omh.near_duplicates(spark.createDataFrame(data, DOCS)).collect()}
+    assert got == {0: 0, 2: 0, 4: 0, 8: 0, 12: 0, 50: 50}
+
+
+def test_lemma_leaves_out_no_link():
+    draw = random.Random(12)
+    for _ in range(2000):
+        a = draw.choices(range(6), k=draw.randint(1, 30))
+        b = list(a)
+        for _ in range(draw.randint(0, 7)):
+            at = draw.randrange(len(b) + 1)
+            b[at : at + draw.randint(0, 1)] = draw.choices(range(6), k=draw.randint(0, 1))
+        if not b:
+            continue
+        x, y = (omh._words(np.array(w, np.uint32).tobytes()) for w in (a, b))
+        if distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+            assert omh.linked(x[0], y[0], 0.8) and omh.possible(len(a), np.array(len(b)), np.array(len(np.intersect1d(x[1], y[1]))), 0.8)
+        else:
+            assert not omh.linked(x[0], y[0], 0.8)
+
+
+def test_hot_leader_and_hot_passage(spark):
+    """Thousands of texts in one bucket: copies of one leader, and texts that share only a passage."""
+    draw = random.Random(13)
+    word = lambda: "".join(draw.choices("abcdefghij", k=5))
+    passage, base = [word() for _ in range(60)], [word() for _ in range(90)]
+    data = []
+    for i in range(1500):
+        own = [word() for _ in range(draw.randint(60, 90))] + passage
+        if i % 2:
+            own = list(base)
+            own[draw.randrange(90)] = word()
+        data.append((i, " ".join(own), None, None, 0))
+    got = {r.doc_id: r.class_id for r in omh.near_duplicates(spark.createDataFrame(data, DOCS), block=128).collect()}
+    assert all(c == (1 if i % 2 else i) for i, c in got.items())
+
+
 def test_near_awkward(spark):
     rows = omh.near_duplicates(awkward(spark)).collect()
     assert len(rows) == len(AWKWARD)
@@ -214,3 +249,64 @@ def test_leaks_awkward(spark):
     none = bench.where("false")
     assert all(r.leaks == [] for r in qd.contamination(awkward(spark), none).collect())
     assert qd.contamination(empty(spark), bench).count() == 0
+
+
+def test_repetitive_texts_and_items(spark):
+    """A text and an item that say the same over and over: work grows with the text, not with its square."""
+    import time
+
+    items = [(1, "la la la lo " * 100), (2, "ab " * 60), (3, "one two three four five six seven eight")]
+    docs = [(1, "la " * 20_000, None, None, 0), (2, "la la la lo " * 6000, None, None, 0), (3, "ab " * 30, None, None, 0), (4, "x " * 500 + "ab " * 70, None, None, 0)]
+    began = time.time()
+    out = {r.doc_id: r.leaks for r in qd.contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert time.time() - began < 60
+    assert {x.item_id for x in out[2]} == {1} and {x.item_id for x in out[4]} == {2} and out[3] == []
+    assert len(out[2]) >= 50 and all(x.edits == 0 for x in out[2])
+    assert {x.item_id for x in out[1]} == set()
+
+
+def test_thinned_places_reach_the_same_cells():
+    draw = random.Random(14)
+    for _ in range(500):
+        spots = sorted(draw.sample(range(200), draw.randint(1, 60)))
+        step, hit = draw.randint(1, 30), draw.randrange(400)
+        cells = lambda ps: {(hit - p + 300) // step for p in ps}  # noqa: B023, E731
+        assert cells(qd.thinned(spots, step)) == cells(spots)
+
+
+def test_leaks_in_pieces_of_a_long_text(monkeypatch):
+    """A long text is searched in pieces with the same result."""
+    draw = random.Random(15)
+    word = lambda: "".join(draw.choices("abcdefghé", k=draw.randint(2, 7)))
+    items = [(i, " ".join(word() for _ in range(draw.choice([1, 5, 12])))) for i in range(12)]
+    own = [word() for _ in range(3000)]
+    for _, t in items * 6:
+        own.insert(draw.randrange(len(own)), t[:-1] + draw.choice([t[-1], "z"]))
+    own.insert(700, "!" * 500 + items[5][1].replace(" ", " ... " * 40))
+    text = " ".join(own)
+    index = qd.build_index(items, qd.Q, qd.BUDGET)
+    whole = qd._kernel(index, qd.Q)(as_text(pa.array([text])))[0].to_pylist()[0]
+    monkeypatch.setattr(qd, "PIECE", 2000)
+    cut = qd._kernel(index, qd.Q)(as_text(pa.array([text])))[0].to_pylist()[0]
+    found = lambda hits: {(h["item_id"], h["start"], h["end"]) for h in hits if not h["edits"]}
+    assert found(whole) == found(cut) and len(found(cut)) > 20
+    assert {h["item_id"] for h in whole} == {h["item_id"] for h in cut}
+
+
+def test_chunks_of_a_long_text(monkeypatch):
+    """Kernels that go through a text by chunks give what they give for the whole."""
+    from tidemark.llm import common, cube_mixing, knn_quality, language_mixture
+
+    draw = random.Random(16)
+    texts = as_text(pa.array(["".join(draw.choices("aB é\n#\U0001f600z1", k=n)) for n in (0, 1, 5000, 3, 999)] + [None, " ", "word " * 700]))
+    kernels = {
+        "hashes": lambda: [x.tolist() for x in word_hashes(texts)],
+        "counts": lambda: cube_mixing.word_counts(texts)[0].to_pylist(),
+        "terms": lambda: knn_quality.terms(texts, 256).tolist(),
+        "trigrams": lambda: sorted((d, c) for docs, codes in language_mixture.trigrams(texts, 1024) for d, c in zip(docs.tolist(), codes.tolist())),
+    }
+    whole = {k: f() for k, f in kernels.items()}
+    monkeypatch.setattr(common.chunks, "__defaults__", (7,))
+    monkeypatch.setattr(common, "CHUNK", 7)
+    assert {k: f() for k, f in kernels.items()} == whole
+    assert whole["counts"] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts.to_pylist()]

@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import uuid
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -24,6 +25,7 @@ from pyspark.sql.types import StructField, StructType
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 #: Bytes of text that the numpy kernels take at a time; their temporary arrays take about 60 times as much.
+#: A longer text stands alone, and kernels go through it by CHUNK.
 SLICE_BYTES = 1 << 19
 _GOLDEN = 0x9E3779B97F4A7C15
 _RADIX = 0x5851F42D4C957F2D
@@ -126,21 +128,51 @@ WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+#: Bytes that a kernel looks at together, however long the text is.
+CHUNK = 1 << 20
+
+
+def chunks(n: int, size: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of `size` that cover n."""
+    return ((a, min(a + size, n)) for a in range(0, n, size))
+
+
+def edges(inside: np.ndarray, raw_inside: Callable[[int], bool], a: int, b: int, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs start and end (last byte) within bytes a to b; breaks: places in the whole before which a run ends."""
+    before, after = np.empty_like(inside), np.empty_like(inside)
+    before[0], after[-1] = raw_inside(a - 1), raw_inside(b)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    own = breaks[np.searchsorted(breaks, a, "left") : np.searchsorted(breaks, b, "right")]
+    before[own[own < b] - a] = False
+    after[own[own > a] - 1 - a] = False
+    return np.flatnonzero(inside & ~before) + a, np.flatnonzero(inside & ~after) + a
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words of all rows, and where each row's words start (one more entry at the end)."""
+    """64-bit hashes of the lower-cased words of all rows, and where each row's words start (one more entry at the end).
+
+    A hash is a polynomial of the word's bytes, from sums over all bytes that go on from chunk to chunk.
+    """
     raw, offsets = text_bytes(pc.utf8_lower(column))
-    if not len(raw):
+    n = len(raw)
+    if not n:
         return np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64)
-    inside = WORD_BYTE[raw]
-    before, after = np.empty_like(inside), np.empty_like(inside)
-    before[0], after[-1] = False, False
-    before[1:], after[:-1] = inside[:-1], inside[1:]
-    before[offsets[:-1][offsets[:-1] < len(raw)]] = False
-    after[offsets[1:][offsets[1:] > 0] - 1] = False
-    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after)
-    sums = np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_RADIX, len(raw)), dtype=np.uint64)
-    left = np.where(starts > 0, sums[starts - 1], np.uint64(0))
-    return mix((sums[ends] - left) * _powers(pow(_RADIX, -1, 1 << 64), len(raw))[starts]), np.searchsorted(starts, offsets)
+    size = min(n, CHUNK)
+    powers, inverse = _powers(_RADIX, size), _powers(pow(_RADIX, -1, 1 << 64), size)
+    within = lambda i: 0 <= i < n and bool(WORD_BYTE[raw[i]])
+    total, lefts, rights, starts = np.uint64(0), [], [], []
+    for a, b in chunks(n):
+        part = raw[a:b]
+        start, end = edges(WORD_BYTE[part], within, a, b, offsets)
+        sums = np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers[: b - a] * np.uint64(pow(_RADIX, a, 1 << 64)), dtype=np.uint64) + total
+        lefts.append(np.where(start > a, sums[np.maximum(start - 1 - a, 0)], total))
+        # a word's hash doesn't tell where it stands
+        rights.append(sums[end - a])
+        starts.append(start)
+        total = sums[-1]
+    begin = np.concatenate(starts)
+    back = np.concatenate([inverse[x - a] * np.uint64(pow(pow(_RADIX, -1, 1 << 64), a, 1 << 64)) for x, (a, _) in zip(starts, chunks(n), strict=True)])
+    return mix((np.concatenate(rights) - np.concatenate(lefts)) * back), np.searchsorted(begin, offsets)
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -169,6 +201,27 @@ def labelled(hashes: np.ndarray) -> np.ndarray:
     return np.where(occurrence > 0, mix(hashes + occurrence * np.uint64(_GOLDEN)), hashes)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, so that an idle Python worker doesn't hold what its last task needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run with give_back() at its end."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def with_struct(df: DataFrame, text_col: str, name: str, fields: str, kernel: Callable[[pa.Array], list], *, keep: list[str] | None = None, rows: int = 1 << 30) -> DataFrame:
     """Columns `keep` of df (all of them by default) and a struct of `fields` that kernel finds from slices of whole texts.
 
@@ -188,7 +241,34 @@ def with_struct(df: DataFrame, text_col: str, name: str, fields: str, kernel: Ca
                 own = pa.StructArray.from_arrays(found, names=[f.name for f in schema[name].dataType])
                 yield pa.RecordBatch.from_arrays([*(c.slice(start, stop - start) for c in batch.columns[:-1]), own], names=schema.names)
 
-    return taken.mapInArrow(run, schema)
+    return taken.mapInArrow(tidy(run), schema)
+
+
+# ---------------------------------------------------------------- hot keys
+
+#: Parts that the rows of one key are dealt into.
+PARTS = 256
+
+
+def beside(df: DataFrame, key: list[str], spot: str, where: str | None = None, **totals: tuple[Callable, Column | str]) -> DataFrame:
+    """df (its rows `where`) with columns over all rows of the same key, which must not be null; a total is (function, column) or (function, column, function that combines).
+
+    The rows of a key are never in one task: they are dealt into PARTS by a hash of `spot`, each part is aggregated before the
+    shuffle, a key's parts (PARTS at most) are combined, and rows meet the result by key and part.
+    """
+    part = free_name(df, "part")
+    dealt = df.withColumn(part, F.pmod(F.xxhash64(spot), F.lit(PARTS)).cast("int"))
+    own = dealt.groupBy(*key, part).agg(*(t[0](t[1]).alias(name) for name, t in totals.items()))
+    whole = Window.partitionBy(*key)
+    combined = own.select(*key, part, *((t[2] if len(t) > 2 else t[0])(F.col(name)).over(whole).alias(name) for name, t in totals.items()))
+    return (dealt.where(where) if where else dealt).join(combined, [*key, part]).drop(part)
+
+
+def attached(df: DataFrame, key: list[str], spot: str, table: DataFrame) -> DataFrame:
+    """df joined with a table that has a row for each key (others drop out), a key's rows in PARTS tasks at most."""
+    part = free_name(df, "part")
+    dealt = df.withColumn(part, F.pmod(F.xxhash64(spot), F.lit(PARTS)).cast("int"))
+    return dealt.join(dealt.select(*key, part).distinct().join(table, key), [*key, part]).drop(part)
 
 
 # ---------------------------------------------------------------- components
@@ -197,8 +277,8 @@ def with_struct(df: DataFrame, text_col: str, name: str, fields: str, kernel: Ca
 def components(links: DataFrame, label: str) -> DataFrame:
     """Columns node and root (the least node of its component) for the nodes of links(a, b) that are not roots themselves.
 
-    Alternating large-star and small-star rounds: each is a minimum per node, combined before the shuffle,
-    and one join, so that a node with very many links is never gathered in one place. Every round is
+    Alternating large-star and small-star rounds: each gives every node the least of its neighbours, by beside(),
+    so that a node with very many links is in many tasks. Every round is
     written to the shared folder, with a checksum taken on the way that tells when nothing changes.
     """
 
@@ -209,12 +289,12 @@ def components(links: DataFrame, label: str) -> DataFrame:
 
     edges, before = put(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links")
     while before[0]:
-        both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        floor = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        hung = large.join(floor, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        old, (edges, now) = edges, put(hung.unionAll(floor.select("hi", F.col("m").alias("lo"))).distinct(), "star")
+        both = edges.select(F.explode(F.array(F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")), F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")))).alias("e")).select("e.*")
+        large = beside(both, ["u"], "v", "v > u", m=(F.min, "v")).select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")).distinct()
+        floor = beside(large, ["hi"], "lo", m=(F.min, "lo"))
+        # every neighbour below a node hangs on the least of them, and so does the node
+        hung = floor.select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))).alias("e")).select("e.*").where("hi <> lo")
+        old, (edges, now) = edges, put(hung.distinct(), "star")
         discard(old)
         if now == before:
             break

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, stored, text_bytes, with_struct
+from .common import chunks, discard, edges, stored, text_bytes, with_struct
 
 WEIGHTS, MOST, CHUNK, LANDING, MOST_SOURCES = (5.0, 2.0, 1.0), 3.0, 2048, 12, 100_000
 _SPACE = np.zeros(256, bool)
@@ -39,13 +39,12 @@ UNIT = ["source", "doc_id", "text_key"]
 def word_counts(texts: pa.Array) -> list[pa.Array]:
     """Runs of other bytes than space, tab, line feed, vertical tab, form feed and carriage return."""
     raw, offsets = text_bytes(texts)
-    word = ~_SPACE[raw]
-    start = word.copy()
-    start[1:] &= ~word[:-1]
-    edge = offsets[:-1][offsets[:-1] < len(raw)]
-    start[edge] = word[edge]
-    total = np.concatenate(([0], np.cumsum(start)))
-    return [pa.array(total[offsets[1:]] - total[offsets[:-1]], pa.int64())]
+    out = np.zeros(len(texts), np.int64)
+    within = lambda i: 0 <= i < len(raw) and not _SPACE[raw[i]]
+    for a, b in chunks(len(raw)):
+        start, _ = edges(~_SPACE[raw[a:b]], within, a, b, offsets)
+        out += np.bincount(np.searchsorted(offsets, start, "right") - 1, minlength=len(texts))
+    return [pa.array(out, pa.int64())]
 
 
 def targets(sizes: list[float], weights: list[float], most: float = MOST) -> list[float]:
@@ -197,11 +196,12 @@ def _narrow(fly):
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the mix takes, with a column copies: how often each stands in the mix."""
-    chosen = mix(docs, **options).where("copies > 0").select(F.col("source").alias("m_source"), F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), F.col("copies").alias("m_copies")).distinct().alias("m")
+    """The rows of docs that the mix takes, with a column copies: how often each stands in the mix. A column of docs with that name is replaced, others stay."""
+    chosen = mix(docs, **options).where("copies > 0").select(F.col("source").alias("m_source"), F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), F.col("copies").alias("m_copies")).distinct()
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
     id_col, text_col, source_col = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source")
-    keep = [c for c in docs.columns if c.lower() != "copies"]
-    key = free_name(docs, "text_key")
-    keyed = docs.select(*keep, F.xxhash64(F.col(text_col).cast("string")).alias(key)).alias("d")
-    on = F.col(f"d.{id_col}").eqNullSafe(F.col("m.m_id")) & F.col(f"d.{source_col}").eqNullSafe(F.col("m.m_source")) & (F.col(f"d.{key}") == F.col("m.m_key"))
-    return keyed.join(chosen, on).select(*(F.col(f"d.{c}") for c in keep), F.col("m.m_copies").alias("copies"))
+    # the caller's columns in a struct, so that none clashes with ours
+    own = F.struct(*(quoted(c) for c in docs.columns if c.lower() != "copies")).alias("own")
+    keyed = docs.select(own, quoted(id_col).cast("long").alias("k_id"), quoted(source_col).cast("string").alias("k_source"), F.xxhash64(quoted(text_col).cast("string")).alias("k_key"))
+    met = keyed.join(chosen, F.col("k_id").eqNullSafe(F.col("m_id")) & F.col("k_source").eqNullSafe(F.col("m_source")) & (F.col("k_key") == F.col("m_key")))
+    return met.select("own.*", F.col("m_copies").alias("copies"))

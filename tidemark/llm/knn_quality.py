@@ -8,7 +8,7 @@ is the only one here) gives `rank` latent directions; every document is projecte
 length 1. For each block of documents the cosines with all labelled vectors are computed exactly, and the
 `neighbours` nearest vote with their label, weighted by cosine ** `power`.
 
-Defined cases: a text without terms (null, empty) and one without a neighbour of positive cosine get the share
+Defined cases: a very long text is read whole, by chunks; a text without terms (null, empty) and one without a neighbour of positive cosine get the share
 of label 1 in the sample; without any labelled document that share is 0.5; null labels and labelled ids
 without a document teach nothing; repeated rows are scored alike (repeated labels of an id count once,
 the largest); of neighbours that tie for the last places any may vote, the same ones in each run; a column with
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, slices, text_bytes, with_struct, word_hashes
+from .common import as_text, chunks, slices, text_bytes, tidy, with_struct, word_hashes
 
 DIMS, RANK, MOST_LABELLED, NEIGHBOURS, POWER, ROWS = 2048, 48, 3000, 25, 4.0, 128
 STEPS, LAYOUTS, LAYOUT_COUNT = 8, 4, 400
@@ -39,22 +39,28 @@ def terms(texts: pa.Array, dims: int) -> np.ndarray:
     raw, offsets = text_bytes(texts)
     out = np.zeros((n, width), np.float32)
     size = np.diff(offsets)
-    if len(raw) >= 3:
-        wide = raw.astype(np.uint32)
+    capitals, symbols = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for a, b in chunks(len(raw)):
+        # with the two bytes before, whose trigrams end here
+        part = raw[max(a - 2, 0) : b]
+        at = np.arange(len(part)) + max(a - 2, 0)
+        doc = np.searchsorted(offsets, at, "right") - 1
+        wide = part.astype(np.uint32)
         code = (wide[:-2] << np.uint32(16) | wide[1:-1] << np.uint32(8) | wide[2:]) * np.uint32(2654435761)
-        doc = np.repeat(np.arange(n), size)[:-2]
-        inside = np.arange(len(code)) + 2 < offsets[doc + 1]
-        at = doc[inside] * dims + (code[inside] >> np.uint32(32 - int(dims).bit_length() + 1)).astype(np.int64)
-        out[:, :dims] = np.bincount(at, minlength=n * dims).reshape(n, dims)
+        inside = doc[:-2] == doc[2:]
+        cell = doc[:-2][inside] * dims + (code[inside] >> np.uint32(32 - int(dims).bit_length() + 1)).astype(np.int64)
+        out[:, :dims] += np.bincount(cell, minlength=n * dims).reshape(n, dims)
+        own = slice(len(part) - (b - a), None)
+        capitals += np.bincount(doc[own][(part[own] >= 65) & (part[own] <= 90)], minlength=n)
+        symbols += np.bincount(doc[own][_SYMBOL[part[own]]], minlength=n)
     words, first = word_hashes(texts)
     many = np.diff(first)
     fresh = np.array([len(np.unique(words[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)])
-    total = lambda mask: np.concatenate(([0], np.cumsum(mask)))[offsets[1:]] - np.concatenate(([0], np.cumsum(mask)))[offsets[:-1]]
     shares = (
         1 - fresh / np.maximum(many, 1),
         np.log2(1 + many) / 16,
-        total((raw >= 65) & (raw <= 90)) / np.maximum(size, 1) * 2,
-        total(_SYMBOL[raw]) / np.maximum(size, 1) * 2,
+        capitals / np.maximum(size, 1) * 2,
+        symbols / np.maximum(size, 1) * 2,
     )
     rows = np.flatnonzero(size > 0)
     for i, share in enumerate(shares):
@@ -91,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         yield pa.record_batch([pa.array(range(-1, width), pa.int32()), pa.array([rows, *found], pa.int64())], names=["term", "n"])
 
     seen = np.zeros(width + 1)
-    for row in docs.select(F.col(text_col).cast("string")).mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for row in docs.select(F.col(text_col).cast("string")).mapInArrow(tidy(frequency), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         seen[row.term + 1] = row.n
     idf = np.log((1 + seen[0]) / (1 + seen[1:])).astype(np.float32)
 
@@ -108,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 yield pa.record_batch([batch.column(0).slice(start, stop - start), batch.column(1).slice(start, stop - start), pa.array(packed, pa.binary())], names=["id", "label", "terms"])
 
     # at most `most_labelled` rows of two numbers are broadcast
-    sample = named.join(F.broadcast(picked), F.col("id") == F.col("label_id")).select("id", "label", "text").mapInArrow(vectors, "id long, label int, terms binary").toArrow().sort_by("id")
+    sample = named.join(F.broadcast(picked), F.col("id") == F.col("label_id")).select("id", "label", "text").mapInArrow(tidy(vectors), "id long, label int, terms binary").toArrow().sort_by("id")
     ids = sample.column("id").to_numpy()
     once = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, int)
     y = sample.column("label").to_numpy()[once].astype(np.float32)

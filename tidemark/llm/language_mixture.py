@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, slices, text_bytes, with_struct
+from .common import as_text, chunks, slices, text_bytes, tidy, with_struct
 
 BINS, PENALTY, STEPS, SMOOTHING, ROWS = 1 << 15, 4.0, 8, 0.5, 128
 #: Languages that a model may have; more are refused, since a document's table grows with them.
@@ -40,23 +40,27 @@ class LanguageModel:
     table: np.ndarray
 
 
-def trigrams(texts: pa.Array, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bins of all trigrams and where those of each text start. Each text stands between two spaces."""
+def trigrams(texts: pa.Array, bins: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of texts and bins of all trigrams, by chunks. Each text stands between two spaces."""
     padded = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), pc.utf8_lower(texts), pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string()))
     raw, offsets = text_bytes(padded)
-    letter = _LETTER[raw]
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    keep[offsets[:-1]] = True
-    kept = np.where(letter, raw, 32)[keep].astype(np.uint32)
-    at = np.concatenate(([0], np.cumsum(keep)))[offsets]
-    if len(kept) < 3:
-        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    code = (kept[:-2] << np.uint32(16) | kept[1:-1] << np.uint32(8) | kept[2:]) * np.uint32(2654435761)
-    code = (code >> np.uint32(32 - int(bins).bit_length() + 1)).astype(np.int64)
-    inside = np.ones(len(kept), bool)
-    inside[np.concatenate((at[1:] - 1, at[1:] - 2))] = False
-    return code[inside[:-2]], np.concatenate(([0], np.cumsum(inside)))[at]
+    last, owner = np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    for a, b in chunks(len(raw)):
+        letter = _LETTER[raw[a:b]]
+        keep = letter.copy()
+        # a space stays after a letter and where a text begins
+        keep[1:] |= letter[:-1]
+        keep[0] |= a > 0 and _LETTER[raw[a - 1]]
+        begins = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b)]
+        keep[begins[begins < len(raw)] - a] = True
+        at = np.flatnonzero(keep)
+        kept = np.concatenate((last, np.where(letter, raw[a:b], np.uint8(32))[at]))
+        doc = np.concatenate((owner, np.searchsorted(offsets, at + a, "right") - 1))
+        wide = kept.astype(np.uint32)
+        code = (wide[:-2] << np.uint32(16) | wide[1:-1] << np.uint32(8) | wide[2:]) * np.uint32(2654435761)
+        inside = doc[:-2] == doc[2:]
+        yield doc[:-2][inside], (code[inside] >> np.uint32(32 - int(bins).bit_length() + 1)).astype(np.int64)
+        last, owner = kept[-2:], doc[-2:]
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", bins: int = BINS) -> LanguageModel:
@@ -68,16 +72,15 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", bins
         for batch in batches:
             langs, whole = np.asarray(batch.column(0).to_pylist(), object), as_text(batch.column(1))
             for start, stop in slices(whole):
-                code, at = trigrams(whole.slice(start, stop - start), bins)
                 own = langs[start:stop]
-                for lang in set(own):
-                    rows = np.repeat(own == lang, np.diff(at))
-                    total[lang] = total.get(lang, 0) + np.bincount(code[rows], minlength=bins)
+                for doc, code in trigrams(whole.slice(start, stop - start), bins):
+                    for lang in set(own):
+                        total[lang] = total.get(lang, 0) + np.bincount(code[(own == lang)[doc]], minlength=bins)
         for lang, counts in total.items():
             full = np.flatnonzero(counts)
             yield pa.record_batch([pa.array([lang] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array(counts[full], pa.int64())], names=["lang", "bin", "n"])
 
-    counted = labelled.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("counts"))
+    counted = labelled.mapInArrow(tidy(count), "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("counts"))
     rows = sorted(counted.limit(MOST_LANGUAGES + 1).collect(), key=lambda r: r.lang.encode())
     if len(rows) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
@@ -141,11 +144,12 @@ def _kernel(model: LanguageModel, penalty: float, steps: int):
     def run(texts: pa.Array) -> list[pa.Array]:
         n = len(texts)
         lettered = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
-        code, at = trigrams(texts, width)
         share = np.zeros((n, len(languages)), np.float32)
-        if languages and len(code):
-            dense = np.bincount(np.repeat(np.arange(n), np.diff(at)) * width + code, minlength=n * width)
-            full = np.flatnonzero(dense)
+        dense = np.zeros(n * width, np.int64)
+        for doc, code in trigrams(texts, width) if languages else ():
+            dense += np.bincount(doc * width + code, minlength=n * width)
+        full = np.flatnonzero(dense)
+        if len(full):
             share = mixtures(full // width, full % width, dense[full].astype(np.float32), n, table, penalty, steps)
         share[~lettered] = 0
         top = share.argmax(1) if languages else np.zeros(n, int)

@@ -3,22 +3,22 @@
 A text is the sequence of its lower-cased words (runs of ASCII letters and digits and of non-ASCII
 characters). Its k-mers are runs of five words, labelled by how often they occurred before. Each of
 `sketches` random orders picks the `picks` least labelled k-mers and keeps them in the order of the
-text; texts that agree in one such tuple become candidates. Two texts are linked if the Jaccard
-similarity of their labelled k-mers is 0.8 or more and a banded alignment of their words finds an edit
-similarity, 1 - distance / longer length, of 0.8 or more. So a text whose parts were moved about is no
-copy. Classes are the connected components of the links.
+text; texts that agree in one such tuple become candidates. Two texts are linked if a banded alignment of their words
+finds an edit similarity, 1 - distance / longer length, of 0.8 or more; nothing else decides. So a text whose parts were moved about is
+no copy. Before an alignment, the q-gram lemma leaves out pairs that cannot reach it: texts of n words at most with e edits share n - 1 - 2 e of
+their labelled pairs of neighbouring words, and their lengths differ by e at most. Classes are the connected components of the links.
 
 Hot groups. Texts with equal words are one node from the first aggregation on. Buckets are never
 expanded into pairs: a round compares every member with one leader of its bucket, then components are
 found and buckets that lie within one component are done. After `rounds` rounds, the members outside
-a bucket's largest component are compared with all others of the bucket, in pairs of blocks of bounded
-size, inside tasks that return one link for each merge. Texts more than a fifth of whose k-mers occur in no
-other text of such buckets are left out before, since they cannot be linked to any (similarity 0.8
-of two sets means that each shares 0.8 of its elements). No bucket has a cap, no pair of different
-components in a bucket is left out.
+a bucket's largest component are compared with all others of the bucket whose length allows it, in pairs of blocks of bounded
+size, inside tasks that return one link for each merge. No bucket has a cap, no pair of different
+components in a bucket is left out. Rows of one bucket, leader or class are dealt over many tasks wherever they are joined, and a leader's
+words go once to each of its parts.
 
 Defined cases: a null or empty text is a class of its own row's doc_id; a text without words is a
-copy of equal texts only; texts shorter than five words have one k-mer; repeated rows come back as
+copy of equal texts only; texts shorter than five words have one k-mer; very long texts are read whole; of equal ids and texts that tie for a class's
+first place any may stay, they are equal; repeated rows come back as
 often as they stand in the input; a class whose ids are all null has a null class id; an empty
 table gives an empty result; other columns, whatever their names, are neither read nor returned.
 """
@@ -26,7 +26,6 @@ table gives an empty result; other columns, whatever their names, are neither re
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -35,9 +34,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, components, discard, labelled, mix, shingle_hashes, slices, stored, text_bytes, word_hashes
+from .common import PARTS, as_text, attached, beside, components, discard, labelled, mix, shingle_hashes, slices, stored, text_bytes, tidy, word_hashes
 
-K, SIMILARITY, SKETCHES, PICKS, ROUNDS = 5, 0.8, 20, 3, 2
+K, SIMILARITY, SKETCHES, PICKS, ROUNDS = 5, 0.8, 40, 2, 2
 #: Texts, and words of texts, in one side of a pair of blocks.
 BLOCK, BLOCK_WORDS = 1024, 2_000_000
 
@@ -103,15 +102,25 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return most + 1
 
 
-def linked(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, least: float) -> bool:
-    """The definition of a link, on words and sorted labelled k-mers."""
-    if min(len(la), len(lb)) < least * max(len(la), len(lb)):
-        return False
-    both = len(np.intersect1d(la, lb, assume_unique=True))
-    if both < least * (len(la) + len(lb) - both) - 1e-9:
-        return False
-    longer = max(len(a), len(b))
-    most = int((1 - least) * longer + 1e-9)
+#: Words in the runs that the lemma counts.
+PAIR = 2
+
+
+def edits_of(longer: np.ndarray, least: float):
+    """Edits that a pair may have."""
+    return ((1 - least) * longer + 1e-9).astype(np.int64)
+
+
+def possible(n: int, m: np.ndarray, shared: np.ndarray, least: float) -> np.ndarray:
+    """Which texts of m words may be linked to one of n words with which they share so many labelled pairs of words."""
+    longer = np.maximum(n, m)
+    most = edits_of(longer, least)
+    return (longer - np.minimum(n, m) <= most) & (shared >= longer + 1 - PAIR - PAIR * most)
+
+
+def linked(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """The definition of a link, on words."""
+    most = int(edits_of(np.array(max(len(a), len(b))), least))
     return edit_distance(a, b, most) <= most
 
 
@@ -145,59 +154,73 @@ def _fingerprints(k: int, sketches: int, picks: int, odd: np.ndarray):
     return run
 
 
-def _words(packed: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _words(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Words, and their labelled pairs in order."""
     words = np.frombuffer(packed, np.uint32)
-    return words, np.sort(labelled(shingle_hashes(mix(words.astype(np.uint64)), k)))
+    return words, np.sort(labelled(shingle_hashes(mix(words.astype(np.uint64)), PAIR)))
+
 
+def _verify(least: float):
+    """Rows (a, part, member, root, words) in order, a leader before its members: links between their roots."""
 
-def _verify(k: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacked = lru_cache(maxsize=64)(lambda packed: _words(packed, k))
+        leader = root = own = pairs = None
         for batch in batches:
-            x, y = (batch.column(i).to_pylist() for i in (2, 3))
-            keep = [linked(*(lambda p, q: (p[0], q[0], p[1], q[1]))(unpacked(a), _words(b, k)), least) for a, b in zip(x, y, strict=True)]
-            yield batch.select(["ra", "rb"]).filter(pa.array(keep, pa.bool_()))
+            found = []
+            for a, part, member, r, packed in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if not member:
+                    leader, root = (a, part), r
+                    own, pairs = _words(packed)
+                elif leader == (a, part):
+                    words, theirs = _words(packed)
+                    shared = len(np.intersect1d(pairs, theirs, assume_unique=True))
+                    if possible(len(own), np.array(len(words)), np.array(shared), least) and linked(own, words, least):
+                        found.append((root, r))
+            yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["ra", "rb"])
 
     return run
 
 
-def _blocks(k: int, least: float):
+def _blocks(least: float):
     """Links between members of different components in one pair of blocks, one for each merge."""
 
     def run(table: pa.Table) -> pa.Table:
         side, root, packed = (table.column(c).to_pylist() for c in ("side", "root", "words"))
-        texts = [_words(p, k) for p in packed]
-        parent = {r: r for r in root}
-
-        def top(r):
-            while parent[r] != r:
-                parent[r] = r = parent[parent[r]]
-            return r
-
-        found = []
+        found: list[tuple[int, int]] = []
         left, right = ([i for i, s in enumerate(side) if s == w] for w in (0, 1))
-        if not left or not right:  # a block may be empty, as texts are dealt by hash
-            return pa.table({"ra": pa.array([], pa.int64()), "rb": pa.array([], pa.int64())})
-        # k-mers of all texts on the right, each with the texts that have it: counts what a text on the left shares with all at once
-        sizes = np.array([len(texts[j][1]) for j in right])
-        flat = np.concatenate([texts[j][1] for j in right])
-        order = np.argsort(flat, kind="stable")
-        holder = np.repeat(np.arange(len(right)), sizes)[order]
-        labels, starts = np.unique(flat[order], return_index=True)
-        starts = np.append(starts, len(flat))
-        for i in left:
-            own = texts[i][1]
-            at = np.searchsorted(labels, own)
-            at[at == len(labels)] = 0
-            at = at[labels[at] == own]
-            many = starts[at + 1] - starts[at]
-            spots = np.repeat(starts[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            both = np.bincount(holder[spots], minlength=len(right))
-            near = np.flatnonzero(both >= least * (len(own) + sizes - both) - 1e-9)
-            for j in (right[n] for n in near[np.argsort(-both[near], kind="stable")]):
-                if top(root[i]) != top(root[j]) and linked(texts[i][0], texts[j][0], texts[i][1], texts[j][1], least):
-                    parent[top(root[i])] = top(root[j])
-                    found.append((root[i], root[j]))
+        if left and right:  # a block may be empty, as texts are dealt by hash
+            parent = {r: r for r in root}
+
+            def top(r):
+                while parent[r] != r:
+                    parent[r] = r = parent[parent[r]]
+                return r
+
+            texts = [_words(p) for p in packed]
+            # pairs of words of all texts on the right, each with the texts that have it: counts what a text on the left shares with all at once
+            sizes = np.array([len(texts[j][0]) for j in right])
+            flat = np.concatenate([texts[j][1] for j in right])
+            order = np.argsort(flat, kind="stable")
+            holder = np.repeat(np.arange(len(right)), [len(texts[j][1]) for j in right])[order]
+            labels, starts = np.unique(flat[order], return_index=True)
+            starts = np.append(starts, len(flat))
+            for i in left:
+                words, own = texts[i]
+                at = np.searchsorted(labels, own)
+                at[at == len(labels)] = 0
+                at = at[labels[at] == own]
+                many = starts[at + 1] - starts[at]
+                both = np.zeros(len(right), np.int64)
+                # a bounded number of places at a time
+                for cut in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(many) >> 20)) + 1):
+                    n = many[cut]
+                    spots = np.repeat(starts[at[cut]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    both += np.bincount(holder[spots], minlength=len(right))
+                near = np.flatnonzero(possible(len(words), sizes, both, least))
+                for j in (right[n] for n in near[np.argsort(-both[near], kind="stable")]):
+                    if top(root[i]) != top(root[j]) and linked(words, texts[j][0], least):
+                        parent[top(root[i])] = top(root[j])
+                        found.append((root[i], root[j]))
         return pa.table({"ra": pa.array([a for a, _ in found], pa.int64()), "rb": pa.array([b for _, b in found], pa.int64())})
 
     return run
@@ -212,73 +235,78 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """near_duplicates() with text_key (xxhash64 of the text) and kept_key: the row of a class that stays has its class_id and kept_key."""
     odd = np.random.default_rng(20190724).integers(0, 1 << 63, sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    prints = stored(docs.mapInArrow(_fingerprints(k, sketches, picks, odd), "uid long, doc_id long, text_key long, node binary, words binary, keys array<bigint>"), "omh-prints")
+    prints = stored(docs.mapInArrow(tidy(_fingerprints(k, sketches, picks, odd)), "uid long, doc_id long, text_key long, node binary, words binary, keys array<bigint>"), "omh-prints")
     # texts with equal words are one node, named by the uid of one of them
-    nodes = prints.where("node is not null").groupBy("node").agg(F.min("uid").alias("rep"))
-    ids = stored(prints.select("uid", "node", "keys").join(nodes, "node").select("uid", "rep", F.when(F.col("uid") == F.col("rep"), F.col("keys")).alias("keys")), "omh-nodes")
-    rows = ids.where("keys is not null").select(F.col("rep").alias("node"), F.explode("keys").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    rows = stored(rows.join(shared, "bucket").select("bucket", "node", F.col("node").alias("root")), "omh-buckets")
+    first = (F.min, "uid")
+    worded = prints.where("node is not null")
+    sized = worded.select("uid", "node", "keys", (F.octet_length("words") / 4).cast("int").alias("length"))
+    ids = stored(beside(sized, ["node"], "uid", rep=first).select("uid", "rep", "length", F.when(F.col("uid") == F.col("rep"), F.col("keys")).alias("keys")), "omh-nodes")
+    rows = ids.where("keys is not null").select(F.col("rep").alias("node"), "length", F.explode("keys").alias("bucket"))
+    rows = stored(beside(rows, ["bucket"], "node", n=(F.count, "node", F.sum)).where("n > 1").select("bucket", "node", "length", F.col("node").alias("root")), "omh-buckets")
     words = stored(prints.select(F.col("uid").alias("node"), "words").join(rows.select("node").distinct(), "node", "left_semi"), "omh-words")
 
     for r in range(rounds + 1):
         # a bucket within one component is done
-        chance = F.xxhash64("node", F.lit(r))
-        mixed = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min_by("node", chance).alias("leader"), F.min_by("root", chance).alias("leader_root")).where("x <> y")
+        chance = F.struct(F.xxhash64("node", F.lit(r)).alias("chance"), "node", "root", "length")
+        mixed = beside(rows, ["bucket"], "node", least=(F.min, "root"), most=(F.max, "root"), leader=(F.min, chance)).where("least <> most")
+        used: list[DataFrame] = []
         if r < rounds:
-            pairs = rows.join(mixed, "bucket").where("root <> leader_root").select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader_root").alias("ra"), F.col("root").alias("rb")).distinct()
-            texts = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").join(words.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
-            links = texts.select("ra", "rb", "x", "y").mapInArrow(_verify(k, similarity), "ra long, rb long")
+            longer, shorter = F.greatest("length", "leader.length"), F.least("length", "leader.length")
+            pairs = mixed.where((F.col("root") != F.col("leader.root")) & (longer - shorter <= (1 - similarity) * longer + 1e-9)).select(F.col("leader.node").alias("a"), F.col("node").alias("b"), F.col("leader.root").alias("ra"), F.col("root").alias("rb")).distinct()
+            pairs = stored(pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int")), f"omh-pairs{r}")
+            used.append(pairs)
+            # each part of a leader's members gets its words once
+            leaders = pairs.select("a", "part", F.col("ra").alias("root")).distinct().join(words.withColumnRenamed("node", "a"), "a")
+            members = pairs.select("a", "part", F.col("rb").alias("root"), "b").join(words.withColumnRenamed("node", "b"), "b")
+            both = leaders.select("a", "part", F.lit(0).alias("member"), "root", "words").unionAll(members.select("a", "part", F.lit(1).alias("member"), "root", "words"))
+            links = both.repartition("a", "part").sortWithinPartitions("a", "part", "member").mapInArrow(tidy(_verify(similarity)), "ra long, rb long")
         else:
-            links, used = _rest(rows.join(mixed.select("bucket"), "bucket"), words, k, similarity, block)
+            links, used = _rest(mixed.select("bucket", "node", "root", "length"), words, similarity, block)
         # links are between roots, so each round's graph is that of the round before with its components shrunk to points
         found = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")), f"omh{r}")
         tops = found.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        old, rows = rows, stored(rows.join(tops, "root", "left").select("bucket", "node", F.coalesce("top", "root").alias("root")), f"omh-rows{r}")
-        discard(old, found)
-    discard(words, *used)
+        old, rows = rows, stored(_renamed(rows, tops), f"omh-rows{r}")
+        discard(old, found, *used)
+    discard(words)
 
     roots = rows.select(F.col("node").alias("rep"), "root").distinct()
     grouped = ids.select("uid", "rep").join(roots, "rep", "left").select("uid", F.coalesce("root", "rep").alias("root"))
     whole = prints.select("uid", "doc_id", "text_key").join(grouped, "uid", "left")
     whole = whole.withColumn("root", F.coalesce("root", F.col("uid")))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("class_id"), F.col("text_key").alias("kept_key")))
-    found = whole.groupBy("root").agg(first.alias("first"), F.count("*").alias("class_size"))
-    return whole.join(found, "root").select("doc_id", "text_key", "first.class_id", "first.kept_key", "class_size")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("class_id"), F.col("text_key").alias("kept_key"))
+    found = beside(whole, ["root"], "uid", first=(F.min, order), class_size=(F.count, F.lit(1), F.sum))
+    return found.select("doc_id", "text_key", "first.class_id", "first.kept_key", "class_size")
 
 
-def _alone(k: int):
-    schema = pa.schema([("label", pa.int64()), ("node", pa.int64())])
+def _renamed(rows: DataFrame, tops: DataFrame) -> DataFrame:
+    """Rows with the tops of their roots; a root's rows are in many tasks."""
+    part = F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")
+    dealt = rows.withColumn("part", part)
+    met = dealt.select("root", "part").distinct().join(tops, "root")
+    return dealt.join(met, ["root", "part"], "left").select("bucket", "node", "length", F.coalesce("top", "root").alias("root"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, (node, packed) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
-                labels = _words(packed, k)[1].view(np.int64)
-                yield pa.record_batch([pa.array(labels), pa.array(np.full(len(labels), node))], schema=schema)
-
-    return run
 
+def _rest(rows: DataFrame, words: DataFrame, similarity: float, block: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links, and the stored tables they are read from: members outside their bucket's largest component against all others of the bucket, in pairs of blocks.
 
-def _rest(rows: DataFrame, words: DataFrame, k: int, similarity: float, block: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Links, and the stored tables they are read from: members outside their bucket's largest component against all others of the bucket, in pairs of blocks."""
-    bucket = ["bucket"]
-    rows = mixed = stored(rows, "omh-mixed")
-    own = words.join(rows.select("node").distinct(), "node", "left_semi")
-    once = own.mapInArrow(_alone(k), "label long, node long").groupBy("label").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    length = F.octet_length("words") / 4
-    able = own.withColumn("length", length).join(once, "node", "left").where(F.coalesce("alone", F.lit(0)) <= (1 - similarity) * F.greatest(F.lit(1), F.col("length") - k + 1) + 1e-9).select("node", "words", "length")
-    able = stored(able, "omh-able")
-    rows = rows.join(able.select("node", "length"), "node")
-    counts = rows.groupBy(*bucket, "root").agg(F.count("*").alias("n"), F.sum("length").alias("w"))
-    main = counts.groupBy(*bucket).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("few"), F.sum("w").alias("all_w"), (F.sum("w") - F.max_by("w", F.struct("n", "root"))).alias("few_w")).where("few > 0")
-    split = lambda n: F.ceil(F.greatest(F.col(n) / block, F.col(f"{n}_w") / BLOCK_WORDS)).cast("int")
-    rows = rows.join(main, bucket).withColumns({"lb": split("few"), "rb": split("all"), "h": F.abs(F.xxhash64("node"))})
-    part = lambda n: (F.col("h") % F.col(n)).cast("int")
+    Members are also dealt by length: classes of lengths grow by 1 / similarity, so that a text can be linked only within its own and the two beside it.
+    """
+    mixed = stored(rows, "omh-mixed")
+    rows = mixed.withColumn("size", F.floor(F.log(1 / similarity, F.greatest(F.col("length"), F.lit(1)) + 1e-9)).cast("int"))
+    counts = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    rows = attached(rows, ["bucket"], "node", main)
+    key = ["bucket", "band"]
+    left = rows.where("root <> main").withColumn("band", F.col("size"))
+    right = rows.withColumn("band", F.explode(F.array(*(F.col("size") + i for i in (-1, 0, 1)))))
+    blocks = lambda df, name: df.groupBy(*key).agg(F.ceil(F.greatest(F.count("*") / block, F.sum("length") / BLOCK_WORDS)).cast("int").alias(name))
+    grid = blocks(left, "lb").join(blocks(right, "rb"), key)
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.where("root <> main").select(*bucket, part("lb").alias("i"), every("rb").alias("j"), F.lit(0).alias("side"), "root", "node")
-    right = rows.select(*bucket, every("lb").alias("i"), part("rb").alias("j"), F.lit(1).alias("side"), "root", "node")
-    sides = left.unionAll(right).join(able.select("node", "words"), "node")
-    return sides.groupBy(*bucket, "i", "j").applyInArrow(_blocks(k, similarity), "ra long, rb long"), [mixed, able]
+    lefts = attached(left, key, "node", grid).select(*key, part("lb").alias("i"), every("rb").alias("j"), F.lit(0).alias("side"), "root", "node")
+    rights = attached(right, key, "node", grid).select(*key, every("lb").alias("i"), part("rb").alias("j"), F.lit(1).alias("side"), "root", "node")
+    sides = lefts.unionAll(rights).join(words, "node")
+    return sides.groupBy(*key, "i", "j").applyInArrow(_blocks(similarity), "ra long, rb long"), [mixed]
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
@@ -287,9 +315,11 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     Columns and their order stay. Of repeated rows with equal id and text, one stays.
     """
     found = stored(classes(docs, **options), "omh-classes")
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    drop = found.where("not (doc_id <=> class_id and text_key = kept_key)").select(F.col("doc_id").alias("drop_id"), F.col("text_key").alias("drop_key")).distinct().alias("d")
-    key = F.xxhash64(F.col(f"k.{text_col}").cast("string"))
-    kept = docs.alias("k").join(drop, F.col(f"k.{id_col}").eqNullSafe(F.col("d.drop_id")) & (key == F.col("d.drop_key")), "left_anti").select("k.*")
+    drop = found.where("not (doc_id <=> class_id and text_key = kept_key)").select(F.col("doc_id").alias("drop_id"), F.col("text_key").alias("drop_key")).distinct()
+    # the caller's columns in a struct, so that none clashes with ours
+    keyed = docs.select(F.struct(*map(quoted, docs.columns)).alias("own"), quoted(id_col).cast("long").alias("k_id"), F.xxhash64(quoted(text_col).cast("string")).alias("k_key"))
+    kept = keyed.join(drop, F.col("k_id").eqNullSafe(F.col("drop_id")) & (F.col("k_key") == F.col("drop_key")), "left_anti").select("own.*")
     twice = found.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count() > 0
     return kept.dropDuplicates([id_col, text_col]) if twice else kept
