@@ -19,6 +19,7 @@ the name of the result is replaced and others stay; an empty table gives an empt
 
 from __future__ import annotations
 
+from bisect import bisect
 from dataclasses import dataclass
 from functools import reduce
 
@@ -216,14 +217,20 @@ def _kernel(index: Index, q: int):
         """(item, edits, start, end) of all hits of each text, in code points. cut: the text is a piece, whose ends bound no word."""
         data, at, place, raw = normalised(texts)
         found: list[list] = [[] for _ in range(len(texts))]
+        here, done = None, 0
         for d, i, start, stop in regions(data, at):
+            # what an exact place before covers is not looked at again
+            if here != (d, i):
+                here, done = (d, i), 0
+            start = max(start, done)
             body, part = index.texts[i], data[start:stop]
             bare = part.tobytes()
             exact = bare.find(body)
-            if exact < 0 and (got := align(np.frombuffer(body, np.uint8).astype(np.int64), part, int(index.edits[i]))):
+            if exact < 0 and len(bare) >= len(body) - int(index.edits[i]) and (got := align(np.frombuffer(body, np.uint8).astype(np.int64), part, int(index.edits[i]))):
                 found[d].append((i, got[0], start + got[1], start + got[2]))
             while exact >= 0:
                 found[d].append((i, 0, start + exact, start + exact + len(body)))
+                done = start + exact + len(body)
                 exact = bare.find(body, exact + len(body))
         for i in index.short:
             whole, body = data.tobytes() if i == index.short[0] else whole, b" " + index.texts[i] + b" "  # noqa: F821
@@ -247,11 +254,13 @@ def _kernel(index: Index, q: int):
         out = []
         for hits in found:
             kept: list = []
-            last: dict[int, list] = {}
+            places_of: dict[int, list] = {}
             for i, e, s, t in sorted(set(hits)):
                 # by item, edits and place: of overlapping places the best stays
-                if not any(s < k[1] and k[0] < t for k in last.get(i, ())):
-                    last.setdefault(i, []).append((s, t))
+                own = places_of.setdefault(i, [])
+                k = bisect(own, (s, t))
+                if not (k and own[k - 1][1] > s or k < len(own) and own[k][0] < t):
+                    own.insert(k, (s, t))
                     kept.append((i, e, s, t))
             out.append([{"item_id": index.ids[i], "start": s, "end": t, "edits": e, "similarity": 1 - e / len(index.texts[i])} for i, e, s, t in sorted(kept, key=lambda h: (h[2], h[0]))])
         return [pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32()), ("similarity", pa.float64())])))]
