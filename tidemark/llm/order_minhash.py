@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import PARTS, as_text, attached, beside, components, discard, labelled, mix, shingle_hashes, slices, stored, text_bytes, tidy, word_hashes
 
-K, SIMILARITY, SKETCHES, PICKS, ROUNDS = 5, 0.8, 40, 2, 2
+K, SIMILARITY, SKETCHES, PICKS, ROUNDS = 5, 0.8, 64, 2, 2
 #: Texts, and words of texts, in one side of a pair of blocks.
 BLOCK, BLOCK_WORDS = 1024, 2_000_000
 
