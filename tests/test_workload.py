@@ -51,6 +51,43 @@ def test_invariants(spark, tmp_path, pattern):
                 assert counts[made.partitions[0]] > counts[made.partitions[1]]
 
 
+def test_one_of_many_writers_makes_a_version(spark, tmp_path):
+    """Threads that commit the same version at once: one succeeds, and no manifest is lost or replaced."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    from tidemark.sources.files import Files
+
+    files, writers = Files(spark, str(tmp_path / "race")), 8
+    for version in range(12):
+        gate = Barrier(writers)
+
+        def commit(w, version=version, gate=gate):
+            files.write(f"draft{w}", f"{version} by {w}")
+            gate.wait()
+            return files.rename(f"draft{w}", f"v{version}")
+
+        with ThreadPoolExecutor(writers) as pool:
+            won = list(pool.map(commit, range(writers)))
+        assert sum(won) == 1 and files.read(f"v{version}") == f"{version} by {won.index(True)}"
+
+
+def test_clustered_files(spark, tmp_path):
+    """Rows of a file are in the order of the clustering columns, after appends, merges and compaction too."""
+    import pyarrow.parquet as pq
+
+    table = SnapshotTable(spark, str(tmp_path / "clustered"))
+    rows = spark.range(400).select((F.col("id") * 37 % 401).alias("key"), (F.col("id") % 2).cast("string").alias("p"))
+    table.create(rows, partition_by="p", cluster_by=["key"])
+    table.append(rows.withColumn("key", F.col("key") + 1000), "a")
+    table.merge(rows.limit(50), MergeSpec(("key", "p"), duplicates="latest", order=()))
+    table.compact()
+    for f in table.manifest().files:
+        keys = pq.read_table(f"{tmp_path}/clustered/{f.path}").column("key").to_pylist()
+        assert keys == sorted(keys)
+    assert table.read().count() == 800
+
+
 def test_same_seed_same_data_and_resume(spark, tmp_path, workload):
     first = config(tmp_path / "x", rounds=2)
     ChangeDataGenerator(spark, first).generate_workload()

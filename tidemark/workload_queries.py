@@ -24,6 +24,7 @@ from .sources import files as disk
 from .sources.shared import scratch
 from .sources.snapshot import SnapshotTable
 from .sources.tables import table_format
+from .streaming.rounds import merge_stream, stream_rounds
 
 STATUSES = ["F", "O", "P"]
 SEED, TS = 42, 1_700_000_000_000
@@ -206,6 +207,18 @@ def staged_load(spark, sf_dir):
     return table.read()
 
 
+def streamed_rounds(spark, sf_dir):
+    """Rounds that arrive as files of a stream, each merged once as a micro-batch; a second start finds nothing new."""
+    path, shared = scratch(spark, "stream-rounds"), scratch(spark, "stream")
+    for r in range(3):
+        disk.write_round(records(spark, sf_dir, r, r + 1), path, r, 1)
+    table = SnapshotTable(spark, f"{shared}/table")
+    schema = records(spark, sf_dir).schema
+    for _ in range(2):
+        merge_stream(stream_rounds(spark, path, schema), table, SPEC, f"{shared}/state", partition_by="partition").awaitTermination()
+    return table.read()
+
+
 def staged_insert(spark, sf_dir):
     path, _ = _history(spark, sf_dir)
     table = SnapshotTable(spark, scratch(spark, "inserted"))
@@ -360,6 +373,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "weight_forms": weight_forms,
     "parquet_table": parquet_table,
     "staged_load": staged_load,
+    "streamed_rounds": streamed_rounds,
     "staged_insert": staged_insert,
     "snapshot_delete_insert": snapshot_delete_insert,
     "snapshot_update_columns": snapshot_update_columns,
@@ -398,6 +412,7 @@ SQL: dict[str, str] = {
     """,
     "parquet_table": _HISTORY,
     "staged_load": _UPSERT(_UPSERT(_R(0, 1), _R(1, 2)), _R(2, 3)),
+    "streamed_rounds": _UPSERT(_UPSERT(_R(0, 1), _R(1, 2)), _R(2, 3)),
     "staged_insert": _HISTORY,
     "snapshot_delete_insert": f"""
         SELECT * FROM ({_R(0, 1)}) WHERE NOT (partition = 'P' OR CAST(key AS INTEGER) % 2 = 0)
