@@ -1,4 +1,15 @@
-"""A corpus cleaned from end to end: each stage calls one operator and works on all that the stage before it kept."""
+"""A corpus cleaned from end to end: each stage calls one operator and works on all that the stage before it kept.
+
+Each stage's result is written to the shared folder and read again, so a lost executor costs that stage's tasks only; a
+stage's table is deleted once the next one is written.
+
+Defined cases, by stage. Null and empty texts, and texts without a letter, go in language_id; a null lang teaches nothing there, a null
+doc_id counts as learned from or not by the empty text. near_dedup keeps the row with the least doc_id of a class (nulls last); of repeated rows one stays, of
+texts that tie the least hash. decontamination drops every document with a place of any item; an empty or missing text of an item matches nothing, and an empty
+benchmark drops nothing. secret_scan keeps all rows; n_chars follows where something was masked and is otherwise left as it was, null too. source_mix returns the rows that are
+taken, with copies; a null source is a source. Very long texts are read whole by every stage. An empty table gives an empty result with the same
+columns. Other columns of documents, whatever their names, stay as they are, but for one named copies, which the last stage replaces.
+"""
 
 from __future__ import annotations
 
