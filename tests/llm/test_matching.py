@@ -33,6 +33,24 @@ def test_edit_distance_equals_plain():
         assert omh.edit_distance(a, b, most) == min(distance(a.tolist(), b.tolist()), most + 1)
 
 
+def test_banded_equals_plain():
+    draw = random.Random(11)
+    for _ in range(1500):
+        letters = draw.choice([2, 4, 30])
+        a = draw.choices(range(letters), k=draw.randint(1, 120))
+        b = list(a)
+        for _ in range(draw.randint(0, 60)):
+            at = draw.randrange(len(b) + 1)
+            b[at : at + draw.randint(0, 2)] = draw.choices(range(letters), k=draw.randint(0, 2))
+        if draw.random() < 0.2:
+            b = draw.choices(range(letters), k=draw.randint(1, 120))
+        a, b = (a, b) if len(a) >= len(b) else (b, a)
+        if b:
+            most, exact = draw.randint(0, 50), distance(a, b)
+            assert omh.banded(a, b, most) == min(exact, most + 1)
+            assert omh.edit_distance(np.array(a), np.array(b), most) == min(exact, most + 1)
+
+
 def test_words_and_labels():
     texts = ["Hello, WORLD hello", "", None, "ünï É a1_b2", "x"]
     hashes, at = word_hashes(as_text(pa.array(texts)))

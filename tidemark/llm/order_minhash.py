@@ -9,8 +9,8 @@ no copy. Before an alignment, the q-gram lemma leaves out pairs that cannot reac
 their labelled pairs of neighbouring words, and their lengths differ by e at most. Classes are the connected components of the links.
 
 Hot groups. Texts with equal words are one node from the first aggregation on. Buckets are never
-expanded into pairs: a round compares every member with one leader of its bucket, then components are
-found and buckets that lie within one component are done. After `rounds` rounds, the members outside
+expanded into pairs: a round compares every member with one leader of its bucket, which then
+leaves it; components are found, and buckets that lie within one component are done. After `rounds` rounds, the members outside
 a bucket's largest component are compared with all others of the bucket whose length allows it, in pairs of blocks of bounded
 size, inside tasks that return one link for each merge. No bucket has a cap, no pair of different
 components in a bucket is left out. Rows of one bucket, leader or class are dealt over many tasks wherever they are joined, and a leader's
@@ -48,8 +48,10 @@ def sketch(labels: np.ndarray, kmers: np.ndarray, odd: np.ndarray, picks: int) -
     step = max(1, (1 << 18) // len(labels))
     for i in range(0, len(odd), step):
         ranks = labels[None, :] * odd[i : i + step, None]
-        ranks ^= ranks >> np.uint64(32)
-        least = np.argpartition(ranks, take - 1, axis=1)[:, :take] if take < len(labels) else np.tile(np.arange(take), (len(ranks), 1))
+        rows, least = np.arange(len(ranks)), np.empty((len(ranks), take), np.int64)
+        for j in range(take):
+            least[:, j] = ranks.argmin(axis=1)
+            ranks[rows, least[:, j]] = np.uint64(0xFFFFFFFFFFFFFFFF)
         least.sort(axis=1)
         key = np.full(len(ranks), take, np.uint64)
         for j in range(take):
@@ -60,16 +62,30 @@ def sketch(labels: np.ndarray, kmers: np.ndarray, odd: np.ndarray, picks: int) -
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edits between two sequences, or most + 1 if there are more: furthest points on the diagonals of a band of that width."""
+    """Edits between two sequences, or most + 1 if there are more, by alignment in the band of diagonals that `most` edits can reach.
+
+    A few edits are found by the furthest points on the diagonals, whose work grows with the square of the edits. Beyond, the band goes down column by
+    column as bits of one number.
+    """
     shorter = min(len(a), len(b))
     differ = np.flatnonzero(a[:shorter] != b[:shorter])
     head = int(differ[0]) if len(differ) else shorter
     differ = np.flatnonzero(a[head:][::-1][: shorter - head] != b[head:][::-1][: shorter - head])
     tail = int(differ[0]) if len(differ) else shorter - head
     a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if len(a) < len(b):
+        a, b = b, a
+    n, m = len(a), len(b)
+    if not m:
+        return min(n, most + 1)
+    few = min(most, 8 + int(m**0.5))
+    found = furthest(a, b, few)
+    return found if found <= few or few == most else banded(a.tolist(), b.tolist(), most)
+
+
+def furthest(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """edit_distance by the furthest point on every diagonal for each number of edits."""
     n, m = len(a), len(b)
-    if not n or not m:
-        return min(max(n, m), most + 1)
     x, y, goal = a.tolist(), b.tolist(), m - n
 
     def run(i: int, j: int) -> int:
@@ -88,6 +104,8 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
         return i
 
     reach = {0: run(0, 0)}
+    if goal == 0 and reach[0] == n:
+        return 0
     for e in range(1, most + 1):
         now = {}
         for d in range(-min(e, n), min(e, m) + 1):
@@ -102,6 +120,40 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return most + 1
 
 
+def banded(a: list, b: list, most: int) -> int:
+    """edit_distance of a and a b that is no longer, by bit vectors of the differences in a column.
+
+    In column j, bit k stands for row j + k - most: the window of 2 * most + 1 rows moves down by one with each column.
+    """
+    n, m = len(a), len(b)
+    if n - m > most:
+        return most + 1
+    spots: dict = {}
+    for i, x in enumerate(a):
+        spots.setdefault(x, []).append(i)
+    # where a symbol stands: all rows as one number if there are many, else the rows
+    many = {x: sum(1 << i for i in own) for x, own in spots.items() if len(own) > 48}
+    mask = (1 << (2 * most + 1)) - 1
+    up, down, now = ((1 << (most + 1)) - 1) << most, 0, 0
+    for j, x in enumerate(b):
+        first = j - most
+        if x in many:
+            same = (many[x] >> first if first >= 0 else many[x] << -first) & mask
+        else:
+            same = 0
+            for i in spots.get(x, ()):
+                if 0 <= i - first <= 2 * most:
+                    same |= 1 << (i - first)
+        diagonal = ((((same & up) + up) ^ up) | same | down) & mask
+        right, left = down | (~(diagonal | up) & mask), diagonal & up
+        now += not diagonal >> most & 1
+        diagonal >>= 1
+        up, down = (left | ~(diagonal | right)) & mask, diagonal & right
+    below = (1 << (n - m)) - 1
+    now += (up >> most & below).bit_count() - (down >> most & below).bit_count()
+    return min(now, most + 1)
+
+
 #: Words in the runs that the lemma counts.
 PAIR = 2
 
@@ -243,13 +295,14 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     ids = stored(beside(sized, ["node"], "uid", rep=first).select("uid", "rep", "length", F.when(F.col("uid") == F.col("rep"), F.col("keys")).alias("keys")), "omh-nodes")
     rows = ids.where("keys is not null").select(F.col("rep").alias("node"), "length", F.explode("keys").alias("bucket"))
     rows = stored(beside(rows, ["bucket"], "node", n=(F.count, "node", F.sum)).where("n > 1").select("bucket", "node", "length", F.col("node").alias("root")), "omh-buckets")
-    words = stored(prints.select(F.col("uid").alias("node"), "words").join(rows.select("node").distinct(), "node", "left_semi"), "omh-words")
+    nodes = stored(rows.select("node").distinct().withColumn("root", F.col("node")), "omh-roots")
+    words = stored(prints.select(F.col("uid").alias("node"), "words").join(nodes.select("node"), "node", "left_semi"), "omh-words")
 
     for r in range(rounds + 1):
-        # a bucket within one component is done
+        # a bucket within one component is done, and so is a leader that all others of its bucket were compared with
         chance = F.struct(F.xxhash64("node", F.lit(r)).alias("chance"), "node", "root", "length")
-        mixed = beside(rows, ["bucket"], "node", least=(F.min, "root"), most=(F.max, "root"), leader=(F.min, chance)).where("least <> most")
-        used: list[DataFrame] = []
+        mixed = stored(beside(rows, ["bucket"], "node", least=(F.min, "root"), most=(F.max, "root"), leader=(F.min, chance)).where("least <> most"), f"omh-mixed{r}")
+        used = [mixed]
         if r < rounds:
             longer, shorter = F.greatest("length", "leader.length"), F.least("length", "leader.length")
             pairs = mixed.where((F.col("root") != F.col("leader.root")) & (longer - shorter <= (1 - similarity) * longer + 1e-9)).select(F.col("leader.node").alias("a"), F.col("node").alias("b"), F.col("leader.root").alias("ra"), F.col("root").alias("rb")).distinct()
@@ -261,15 +314,19 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             both = leaders.select("a", "part", F.lit(0).alias("member"), "root", "words").unionAll(members.select("a", "part", F.lit(1).alias("member"), "root", "words"))
             links = both.repartition("a", "part").sortWithinPartitions("a", "part", "member").mapInArrow(tidy(_verify(similarity)), "ra long, rb long")
         else:
-            links, used = _rest(mixed.select("bucket", "node", "root", "length"), words, similarity, block)
+            links = _rest(mixed.select("bucket", "node", "root", "length"), words, similarity, block)
         # links are between roots, so each round's graph is that of the round before with its components shrunk to points
         found = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")), f"omh{r}")
         tops = found.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        old, rows = rows, stored(_renamed(rows, tops), f"omh-rows{r}")
-        discard(old, found, *used)
-    discard(words)
+        old = [nodes, rows]
+        nodes = stored(_renamed(nodes, tops), f"omh-roots{r}")
+        if r < rounds:
+            rows = stored(_renamed(mixed.where("node <> leader.node").select("bucket", "node", "length", "root"), tops), f"omh-rows{r}")
+            discard(old[1])
+        discard(old[0], found, *used)
+    discard(words, rows)
 
-    roots = rows.select(F.col("node").alias("rep"), "root").distinct()
+    roots = nodes.select(F.col("node").alias("rep"), "root")
     grouped = ids.select("uid", "rep").join(roots, "rep", "left").select("uid", F.coalesce("root", "rep").alias("root"))
     whole = prints.select("uid", "doc_id", "text_key").join(grouped, "uid", "left")
     whole = whole.withColumn("root", F.coalesce("root", F.col("uid")))
@@ -283,16 +340,15 @@ def _renamed(rows: DataFrame, tops: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")
     dealt = rows.withColumn("part", part)
     met = dealt.select("root", "part").distinct().join(tops, "root")
-    return dealt.join(met, ["root", "part"], "left").select("bucket", "node", "length", F.coalesce("top", "root").alias("root"))
+    return dealt.join(met, ["root", "part"], "left").select(*(c for c in rows.columns if c != "root"), F.coalesce("top", "root").alias("root"))
 
 
-def _rest(rows: DataFrame, words: DataFrame, similarity: float, block: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Links, and the stored tables they are read from: members outside their bucket's largest component against all others of the bucket, in pairs of blocks.
+def _rest(rows: DataFrame, words: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links between members outside their bucket's largest component and all others of the bucket, found in pairs of blocks.
 
     Members are also dealt by length: classes of lengths grow by 1 / similarity, so that a text can be linked only within its own and the two beside it.
     """
-    mixed = stored(rows, "omh-mixed")
-    rows = mixed.withColumn("size", F.floor(F.log(1 / similarity, F.greatest(F.col("length"), F.lit(1)) + 1e-9)).cast("int"))
+    rows = rows.withColumn("size", F.floor(F.log(1 / similarity, F.greatest(F.col("length"), F.lit(1)) + 1e-9)).cast("int"))
     counts = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     main = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     rows = attached(rows, ["bucket"], "node", main)
@@ -306,7 +362,7 @@ def _rest(rows: DataFrame, words: DataFrame, similarity: float, block: int) -> t
     lefts = attached(left, key, "node", grid).select(*key, part("lb").alias("i"), every("rb").alias("j"), F.lit(0).alias("side"), "root", "node")
     rights = attached(right, key, "node", grid).select(*key, every("lb").alias("i"), part("rb").alias("j"), F.lit(1).alias("side"), "root", "node")
     sides = lefts.unionAll(rights).join(words, "node")
-    return sides.groupBy(*key, "i", "j").applyInArrow(_blocks(similarity), "ra long, rb long"), [mixed]
+    return sides.groupBy(*key, "i", "j").applyInArrow(_blocks(similarity), "ra long, rb long")
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
