@@ -129,3 +129,13 @@ def test_quality_awkward(spark):
     assert knn_quality.score(empty(spark), voters).count() == 0
     none = knn_quality.fit(empty(spark), spark.createDataFrame([], "doc_id long, quality int"))
     assert {r.quality.score for r in knn_quality.score(awkward(spark), none).collect()} == {0.5}
+
+
+def test_ties_and_too_many_languages(spark):
+    """Two languages of equal texts tie: the first by code point is named. More languages than allowed are refused."""
+    text = "some words that both languages have alike and again some words"
+    docs = spark.createDataFrame([(i, text, lang, "s", 0) for i, lang in enumerate(["zz", "bb", "aa"])], DOCS)
+    model = language_mixture.fit(docs)
+    assert {r.language.lang for r in language_mixture.detect(docs, model).collect()} == {"aa"}
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        language_mixture.fit(docs, most_languages=2)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tests.llm.helpers import AWKWARD, DOCS, awkward, empty
 from tidemark.llm import order_minhash as omh
 from tidemark.llm import qgram_decontamination as qd
-from tidemark.llm.common import as_text, components, labelled, shingle_hashes, word_hashes
+from tidemark.llm.common import as_text, components, labelled, mix, shingle_hashes, word_hashes
 
 
 def distance(a, b):
@@ -48,6 +48,9 @@ def test_banded_equals_plain():
         if b:
             most, exact = draw.randint(0, 50), distance(a, b)
             assert omh.banded(a, b, most) == min(exact, most + 1)
+            assert exact <= omh.two_diagonals(np.array(a), np.array(b)) == omh.two_diagonals(np.array(b), np.array(a))
+            own = np.array(a, np.uint32)
+            assert omh.pairs_of(own).tolist() == np.sort(labelled(shingle_hashes(mix(own.astype(np.uint64)), omh.PAIR))).tolist()
             assert omh.edit_distance(np.array(a), np.array(b), most) == min(exact, most + 1)
 
 

@@ -27,7 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__package__])
 #: Bytes of text that the numpy kernels take at a time; their temporary arrays take about 60 times as much.
 #: A longer text stands alone, and kernels go through it by CHUNK.
 SLICE_BYTES = 1 << 19
-_GOLDEN = 0x9E3779B97F4A7C15
+GOLDEN = 0x9E3779B97F4A7C15
 _RADIX = 0x5851F42D4C957F2D
 
 
@@ -198,7 +198,7 @@ def labelled(hashes: np.ndarray) -> np.ndarray:
     at = np.arange(len(hashes))
     occurrence = np.empty(len(hashes), np.uint64)
     occurrence[order] = at - np.maximum.accumulate(np.where(new, at, 0))
-    return np.where(occurrence > 0, mix(hashes + occurrence * np.uint64(_GOLDEN)), hashes)
+    return np.where(occurrence > 0, mix(hashes + occurrence * np.uint64(GOLDEN)), hashes)
 
 
 def give_back() -> None:

@@ -13,7 +13,8 @@ together, until a source's rests fit one chunk. There, the last few fractions ar
 their roundings, that with the least error in words, then documents, is taken. Chunks and draws
 come from hashes of the documents, so reruns agree.
 
-Defined cases: a null text has 0 words; documents of 0 words take 0; sources without words have target 0;
+Defined cases: a null or empty text has 0 words; very long texts are counted whole, by chunks; of mixes that tie at the landing the first in order of the
+units' hashes is taken; documents of 0 words take 0; sources without words have target 0;
 rows with equal id, source and text are one unit and are taken alike; a null source is a source;
 an empty table gives an empty result. Sources and their totals are gathered on the driver, as the
 weights are given for each: more than `most_sources` are refused.

@@ -9,7 +9,7 @@ log-likelihood minus `penalty` * size * ln(1 + trigrams) is largest.
 
 Defined cases: null texts and texts without a letter are `und` with score 0 and no languages; a model
 learned from no labelled text gives `und` everywhere; rows with a null label teach nothing; ties go to
-the language that comes first by code point; repeated rows are judged alike; a column with the name of
+the language that comes first by code point; very long texts are read whole, by chunks; more labels than `most_languages` are refused, none is dropped; repeated rows are judged alike; a column with the name of
 the result is replaced, other columns stay; an empty table gives an empty result.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import as_text, chunks, slices, text_bytes, tidy, with_struct
 
 BINS, PENALTY, STEPS, SMOOTHING, ROWS = 1 << 15, 4.0, 8, 0.5, 128
-#: Languages that a model may have; more are refused, since a document's table grows with them.
+#: Languages that a model may have by default; more are refused, since the table has 4 * BINS bytes for each.
 MOST_LANGUAGES = 512
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
@@ -63,7 +63,7 @@ def trigrams(texts: pa.Array, bins: int) -> Iterator[tuple[np.ndarray, np.ndarra
         last, owner = kept[-2:], doc[-2:]
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", bins: int = BINS) -> LanguageModel:
+def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", bins: int = BINS, most_languages: int = MOST_LANGUAGES) -> LanguageModel:
     """Counts over every row of docs that has a label; what reaches the driver is a count per language and bin."""
     labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
 
@@ -81,9 +81,9 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", bins
             yield pa.record_batch([pa.array([lang] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array(counts[full], pa.int64())], names=["lang", "bin", "n"])
 
     counted = labelled.mapInArrow(tidy(count), "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("counts"))
-    rows = sorted(counted.limit(MOST_LANGUAGES + 1).collect(), key=lambda r: r.lang.encode())
-    if len(rows) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    rows = sorted(counted.limit(most_languages + 1).collect(), key=lambda r: r.lang.encode())
+    if len(rows) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     table = np.full((bins, len(rows)), SMOOTHING)
     for j, row in enumerate(rows):
         table[[c.bin for c in row.counts], j] += [c.n for c in row.counts]

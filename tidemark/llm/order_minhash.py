@@ -34,9 +34,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PARTS, as_text, attached, beside, components, discard, labelled, mix, shingle_hashes, slices, stored, text_bytes, tidy, word_hashes
+from .common import GOLDEN, PARTS, as_text, attached, beside, components, discard, labelled, mix, shingle_hashes, slices, stored, text_bytes, tidy, word_hashes
 
-K, SIMILARITY, SKETCHES, PICKS, ROUNDS = 5, 0.8, 64, 2, 2
+K, SIMILARITY, SKETCHES, PICKS, ROUNDS = 5, 0.8, 40, 2, 2
 #: Texts, and words of texts, in one side of a pair of blocks.
 BLOCK, BLOCK_WORDS = 1024, 2_000_000
 
@@ -78,7 +78,7 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     n, m = len(a), len(b)
     if not m:
         return min(n, most + 1)
-    few = min(most, 8 + int(m**0.5))
+    few = min(most, 2 + int(0.6 * m**0.5))
     found = furthest(a, b, few)
     return found if found <= few or few == most else banded(a.tolist(), b.tolist(), most)
 
@@ -170,10 +170,19 @@ def possible(n: int, m: np.ndarray, shared: np.ndarray, least: float) -> np.ndar
     return (longer - np.minimum(n, m) <= most) & (shared >= longer + 1 - PAIR - PAIR * most)
 
 
+def two_diagonals(a: np.ndarray, b: np.ndarray) -> int:
+    """Edits of the best alignment along the first diagonal up to a place and the last one from there: never fewer than the distance."""
+    n, gap = min(len(a), len(b)), abs(len(a) - len(b))
+    begins, ends = a[:n] != b[:n], a[len(a) - n :] != b[len(b) - n :]
+    upto = np.concatenate(([0], np.cumsum(begins)))
+    after = np.concatenate((np.cumsum(ends[::-1])[::-1], [0]))
+    return int((upto + after).min()) + gap
+
+
 def linked(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """The definition of a link, on words."""
+    """The definition of a link, on words. One gap and substitutions are seen at once; other pairs are aligned in the whole band."""
     most = int(edits_of(np.array(max(len(a), len(b))), least))
-    return edit_distance(a, b, most) <= most
+    return two_diagonals(a, b) <= most or edit_distance(a, b, most) <= most
 
 
 def _fingerprints(k: int, sketches: int, picks: int, odd: np.ndarray):
@@ -209,7 +218,19 @@ def _fingerprints(k: int, sketches: int, picks: int, odd: np.ndarray):
 def _words(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Words, and their labelled pairs in order."""
     words = np.frombuffer(packed, np.uint32)
-    return words, np.sort(labelled(shingle_hashes(mix(words.astype(np.uint64)), PAIR)))
+    return words, pairs_of(words)
+
+
+def pairs_of(words: np.ndarray) -> np.ndarray:
+    """labelled() of a text's pairs of neighbouring words, in order."""
+    pairs = np.sort(shingle_hashes(mix(words.astype(np.uint64)), PAIR))
+    again = pairs[1:] == pairs[:-1]
+    if again.any():
+        at = np.arange(len(pairs))
+        new = np.concatenate(([True], ~again))
+        occurrence = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+        pairs = np.sort(np.where(occurrence > 0, mix(pairs + occurrence * np.uint64(GOLDEN)), pairs))
+    return pairs
 
 
 def _verify(least: float):
@@ -220,14 +241,16 @@ def _verify(least: float):
         for batch in batches:
             found = []
             for a, part, member, r, packed in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                words = np.frombuffer(packed, np.uint32)
                 if not member:
-                    leader, root = (a, part), r
-                    own, pairs = _words(packed)
+                    leader, root, own, pairs = (a, part), r, words, None
                 elif leader == (a, part):
-                    words, theirs = _words(packed)
-                    shared = len(np.intersect1d(pairs, theirs, assume_unique=True))
-                    if possible(len(own), np.array(len(words)), np.array(shared), least) and linked(own, words, least):
-                        found.append((root, r))
+                    if two_diagonals(own, words) > edits_of(np.array(max(len(own), len(words))), least):
+                        pairs = pairs_of(own) if pairs is None else pairs
+                        shared = len(np.intersect1d(pairs, pairs_of(words), assume_unique=True))
+                        if not possible(len(own), np.array(len(words)), np.array(shared), least) or not linked(own, words, least):
+                            continue
+                    found.append((root, r))
             yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["ra", "rb"])
 
     return run
@@ -239,7 +262,8 @@ def _blocks(least: float):
     def run(table: pa.Table) -> pa.Table:
         side, root, packed = (table.column(c).to_pylist() for c in ("side", "root", "words"))
         found: list[tuple[int, int]] = []
-        left, right = ([i for i, s in enumerate(side) if s == w] for w in (0, 1))
+        # of a bucket that is one block, members outside the largest component are on both sides
+        left, right = ([i for i, s in enumerate(side) if s in w] for w in ((0, 2), (1, 2)))
         if left and right:  # a block may be empty, as texts are dealt by hash
             parent = {r: r for r in root}
 
@@ -294,7 +318,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     sized = worded.select("uid", "node", "keys", (F.octet_length("words") / 4).cast("int").alias("length"))
     ids = stored(beside(sized, ["node"], "uid", rep=first).select("uid", "rep", "length", F.when(F.col("uid") == F.col("rep"), F.col("keys")).alias("keys")), "omh-nodes")
     rows = ids.where("keys is not null").select(F.col("rep").alias("node"), "length", F.explode("keys").alias("bucket"))
-    rows = stored(beside(rows, ["bucket"], "node", n=(F.count, "node", F.sum)).where("n > 1").select("bucket", "node", "length", F.col("node").alias("root")), "omh-buckets")
+    # most buckets have one text; adaptive execution splits the rows of a large one in this join
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    rows = stored(rows.join(shared, "bucket").select("bucket", "node", "length", F.col("node").alias("root")), "omh-buckets")
     nodes = stored(rows.select("node").distinct().withColumn("root", F.col("node")), "omh-roots")
     words = stored(prints.select(F.col("uid").alias("node"), "words").join(nodes.select("node"), "node", "left_semi"), "omh-words")
 
@@ -349,9 +375,11 @@ def _rest(rows: DataFrame, words: DataFrame, similarity: float, block: int) -> D
     Members are also dealt by length: classes of lengths grow by 1 / similarity, so that a text can be linked only within its own and the two beside it.
     """
     rows = rows.withColumn("size", F.floor(F.log(1 / similarity, F.greatest(F.col("length"), F.lit(1)) + 1e-9)).cast("int"))
-    counts = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    main = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    counts = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("length").alias("w"))
+    main = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), ((F.sum("n") <= block) & (F.sum("w") <= BLOCK_WORDS)).alias("small"))
     rows = attached(rows, ["bucket"], "node", main)
+    whole = rows.where("small").select("bucket", F.lit(0).alias("band"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(F.col("root") == F.col("main"), 1).otherwise(2).alias("side"), "root", "node")
+    rows = rows.where("not small")
     key = ["bucket", "band"]
     left = rows.where("root <> main").withColumn("band", F.col("size"))
     right = rows.withColumn("band", F.explode(F.array(*(F.col("size") + i for i in (-1, 0, 1)))))
@@ -361,7 +389,7 @@ def _rest(rows: DataFrame, words: DataFrame, similarity: float, block: int) -> D
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     lefts = attached(left, key, "node", grid).select(*key, part("lb").alias("i"), every("rb").alias("j"), F.lit(0).alias("side"), "root", "node")
     rights = attached(right, key, "node", grid).select(*key, every("lb").alias("i"), part("rb").alias("j"), F.lit(1).alias("side"), "root", "node")
-    sides = lefts.unionAll(rights).join(words, "node")
+    sides = whole.unionAll(lefts).unionAll(rights).join(words, "node")
     return sides.groupBy(*key, "i", "j").applyInArrow(_blocks(similarity), "ra long, rb long")
 
 
