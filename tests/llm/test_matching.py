@@ -178,6 +178,7 @@ def test_lemma_leaves_out_no_link():
             continue
         x, y = (omh._words(np.array(w, np.uint32).tobytes()) for w in (a, b))
         if distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+            assert omh.alike(*(omh.sorted_labels(w[0].astype(np.uint64)) for w in (x, y)), 0.8)
             assert omh.linked(x[0], y[0], 0.8) and omh.possible(len(a), np.array(len(b)), np.array(len(np.intersect1d(x[1], y[1]))), 0.8)
         else:
             assert not omh.linked(x[0], y[0], 0.8)

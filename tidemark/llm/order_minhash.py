@@ -6,7 +6,7 @@ characters). Its k-mers are runs of five words, labelled by how often they occur
 text; texts that agree in one such tuple become candidates. Two texts are linked if a banded alignment of their words
 finds an edit similarity, 1 - distance / longer length, of 0.8 or more; nothing else decides. So a text whose parts were moved about is
 no copy. Before an alignment, the q-gram lemma leaves out pairs that cannot reach it: texts of n words at most with e edits share n - 1 - 2 e of
-their labelled pairs of neighbouring words, and their lengths differ by e at most. Classes are the connected components of the links.
+their labelled pairs of neighbouring words and n - e of their labelled words, and their lengths differ by e at most. Classes are the connected components of the links.
 
 Hot groups. Texts with equal words are one node from the first aggregation on. Buckets are never
 expanded into pairs: a round compares every member with one leader of its bucket, which then
@@ -221,16 +221,27 @@ def _words(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return words, pairs_of(words)
 
 
-def pairs_of(words: np.ndarray) -> np.ndarray:
-    """labelled() of a text's pairs of neighbouring words, in order."""
-    pairs = np.sort(shingle_hashes(mix(words.astype(np.uint64)), PAIR))
-    again = pairs[1:] == pairs[:-1]
+def sorted_labels(hashes: np.ndarray) -> np.ndarray:
+    """labelled() in order of the numbers."""
+    out = np.sort(hashes)
+    again = out[1:] == out[:-1]
     if again.any():
-        at = np.arange(len(pairs))
+        at = np.arange(len(out))
         new = np.concatenate(([True], ~again))
         occurrence = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
-        pairs = np.sort(np.where(occurrence > 0, mix(pairs + occurrence * np.uint64(GOLDEN)), pairs))
-    return pairs
+        out = np.sort(np.where(occurrence > 0, mix(out + occurrence * np.uint64(GOLDEN)), out))
+    return out
+
+
+def pairs_of(words: np.ndarray) -> np.ndarray:
+    """A text's labelled pairs of neighbouring words, in order."""
+    return sorted_labels(shingle_hashes(mix(words.astype(np.uint64)), PAIR))
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether labelled words, in order, of two texts allow a link: all but the edits of the longer stand in the other."""
+    longer = max(len(a), len(b))
+    return len(np.intersect1d(a, b, assume_unique=True)) >= longer - int(edits_of(np.array(longer), least))
 
 
 def _verify(least: float):
@@ -248,7 +259,7 @@ def _verify(least: float):
                     if two_diagonals(own, words) > edits_of(np.array(max(len(own), len(words))), least):
                         pairs = pairs_of(own) if pairs is None else pairs
                         shared = len(np.intersect1d(pairs, pairs_of(words), assume_unique=True))
-                        if not possible(len(own), np.array(len(words)), np.array(shared), least) or not linked(own, words, least):
+                        if not possible(len(own), np.array(len(words)), np.array(shared), least) or not alike(*(sorted_labels(w.astype(np.uint64)) for w in (own, words)), least) or not linked(own, words, least):
                             continue
                     found.append((root, r))
             yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["ra", "rb"])
@@ -272,7 +283,13 @@ def _blocks(least: float):
                     parent[r] = r = parent[parent[r]]
                 return r
 
-            texts = [_words(p) for p in packed]
+            texts, bags = [_words(p) for p in packed], {}
+
+            def bag(i):
+                if i not in bags:
+                    bags[i] = sorted_labels(texts[i][0].astype(np.uint64))
+                return bags[i]
+
             # pairs of words of all texts on the right, each with the texts that have it: counts what a text on the left shares with all at once
             sizes = np.array([len(texts[j][0]) for j in right])
             flat = np.concatenate([texts[j][1] for j in right])
@@ -294,7 +311,7 @@ def _blocks(least: float):
                     both += np.bincount(holder[spots], minlength=len(right))
                 near = np.flatnonzero(possible(len(words), sizes, both, least))
                 for j in (right[n] for n in near[np.argsort(-both[near], kind="stable")]):
-                    if top(root[i]) != top(root[j]) and linked(words, texts[j][0], least):
+                    if top(root[i]) != top(root[j]) and alike(bag(i), bag(j), least) and linked(words, texts[j][0], least):
                         parent[top(root[i])] = top(root[j])
                         found.append((root[i], root[j]))
         return pa.table({"ra": pa.array([a for a, _ in found], pa.int64()), "rb": pa.array([b for _, b in found], pa.int64())})
