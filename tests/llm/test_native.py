@@ -1,5 +1,6 @@
 """Quality rules, licences and secrets."""
 
+import math
 import random
 import re
 import string
@@ -209,6 +210,19 @@ def test_labels_equal_brute_force(spark):
         assert out[i][0] == labels and abs(out[i][1] - score) < 1e-9, t
 
 
+def test_idf_counts_every_text(spark):
+    """Texts without an anchor word count like any others."""
+    draw = random.Random(9)
+    usual = ["Free", "software", "LICENSE", "terms", "the", "caf\u00e9", "x", "general", "\u212aey", "mit"]
+    texts = [None, "", " - ", "software terms"] + [draw.choice([" ", ", "]).join(draw.choices(usual, k=draw.randint(1, 5))) for _ in range(60)]
+    known = license_index.templates(license_index.PHRASES, license_index.NOTICES, license_index.SHARE)
+    vocabulary = {w for t in known for _, w in t.words}
+    got = license_index.idf(license_index.places(spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS), vocabulary), vocabulary)
+    ascii_lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+    holds = Counter(w for t in texts for w in set(TOKENS.findall((t or "").translate(ascii_lower))))
+    assert holds["software"] > 4 and got == {w: math.log((1 + len(texts)) / (1 + holds[w])) for w in vocabulary}
+
+
 def test_licences_awkward(spark):
     out = license_index.summary(license_index.scan(awkward(spark))).collect()
     assert len(out) == len(AWKWARD) and {r.labels for r in out} == {""}

@@ -1,9 +1,9 @@
 """License scan with a positional rare-token index.
 
 Templates are licence notices; each has a label, its indexed words with their positions, and key phrases of which
-one must stand in it. Every text is read once: its words are counted, and a text with any anchor word (each key phrase
-has one, so a text without cannot match) keeps the places of its licence words. From these, document
-frequencies over the corpus give each licence word an IDF.
+one must stand in it. Every text is read once: its words are counted, and it keeps its different licence words, from which document
+frequencies over the whole corpus give each licence word an IDF. A text with any anchor word (each key phrase
+has one, so a text without cannot match) also keeps the places of its licence words.
 
 A file is looked up by its highest-IDF licence words: all but the commonest `least - 1`, since a match has at least `least` different
 words, in an index from each word to the templates for which it is rare. A template of n words that needs m of them is entered under its
@@ -116,25 +116,26 @@ def distinct_needed(t: Template) -> int:
 
 
 def places(docs: DataFrame, vocabulary: set[str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words and, for texts with an anchor word, hits: the places (i) of licence words (w)."""
+    """doc_id, n_words, own (the different licence words) and, for texts with an anchor word, hits: the places (i) of licence words (w)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    pieces = F.split(text, GAP, -1)
-    # between gaps stand words; only the first and last piece can be empty, and a text of one gap has both
-    n_words = let(pieces, lambda p: (F.size(p) - (F.element_at(p, 1) == "").cast("int") - ((F.element_at(p, -1) == "") & (F.size(p) > 1)).cast("int")).cast("long"))
     capitals, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     lowered = F.translate(text, capitals, small)
+    # between gaps stand words; only the first and last piece can be empty, and a text of one gap has both
+    n_words = lambda p: (F.size(p) - (F.element_at(p, 1) == "").cast("int") - ((F.element_at(p, -1) == "") & (F.size(p) > 1)).cast("int")).cast("long")
+    known = F.array(*map(F.lit, sorted(vocabulary)))
+    read = let(F.split(lowered, GAP, -1), lambda p: F.struct(n_words(p).alias("n_words"), F.array_intersect(p, known).alias("own")))
     words = F.regexp_extract_all(lowered, F.lit(f"({WORD})"), F.lit(1))
     hits = F.filter(F.transform(words, lambda w, i: F.struct(i.cast("long").alias("i"), w.alias("w"))), lambda h: h["w"].isin(sorted(vocabulary)))
     other = r"[0-9A-Za-z\x80-\x{10FFFF}]"
     anchored = text.rlike(f"(?i)(?<!{other})(?:{'|'.join(ANCHORS)})(?!{other})")
     none = F.array().cast("array<struct<i:bigint,w:string>>")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), n_words.alias("n_words"), F.when(anchored, hits).otherwise(none).alias("hits"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), read.alias("read"), F.when(anchored, hits).otherwise(none).alias("hits")).select("doc_id", "read.n_words", "read.own", "hits")
 
 
 def idf(found: DataFrame, vocabulary: set[str]) -> dict[str, float]:
     """ln((1 + documents) / (1 + documents with the word)) over the whole corpus: a number for each word of the vocabulary."""
     docs = found.count()
-    seen = found.where(F.size("hits") > 0).select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("w")).groupBy("w").count().collect()
+    seen = found.select(F.explode("own").alias("w")).groupBy("w").count().collect()
     own = {r["w"]: r["count"] for r in seen}
     return {w: math.log((1 + docs) / (1 + own.get(w, 0))) for w in vocabulary}
 
