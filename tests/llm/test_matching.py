@@ -1,6 +1,7 @@
 """Near duplicates and benchmark decontamination against brute force."""
 
 import itertools
+import os
 import random
 import re
 
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import AWKWARD, DOCS, awkward, empty
+from tidemark.llm import common
 from tidemark.llm import order_minhash as omh
 from tidemark.llm import qgram_decontamination as qd
 from tidemark.llm.common import as_text, components, labelled, mix, shingle_hashes, word_hashes
@@ -234,6 +236,75 @@ def test_components(spark):
     assert got == {x: top(x) for x in linked if top(x) != x}
 
 
+@pytest.mark.parametrize("few", [0, 1 << 15])
+def test_components_in_the_cluster_and_on_the_driver(spark, few, monkeypatch):
+    draw = random.Random(6)
+    links = [(draw.randrange(90), draw.randrange(90)) for _ in range(60)] + [(i + 1, i) for i in range(300, 330)] + [(7, 7), (9_000, 9_000)]
+    gathered = []
+    own = common.joined
+    monkeypatch.setattr(common, "joined", lambda edges: gathered.append(edges.count()) or own(edges))
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), "test", few).collect()}
+    of = classes_of(sorted({x for e in links for x in e}), links)
+    assert got == {x: top for x, top in of.items() if top != x}
+    assert bool(gathered) == (few > 0)
+    assert components(spark.createDataFrame([(5, 5)], "a long, b long"), "test", few).count() == 0
+
+
+def test_words_of_nodes_without_a_shuffle_of_texts(spark):
+    """All nodes keep their words, few other texts stay, and no row with words is shuffled or left behind."""
+    prints = spark.range(20_000).select(F.col("id").alias("uid"), F.col("id").cast("string").cast("binary").alias("words"))
+    nodes = spark.range(0, 20_000, 10).select(F.col("id").alias("node"))
+    found = omh._words_of(prints, nodes)
+    rows = {r.node: bytes(r.words) for r in found.collect()}
+    assert set(range(0, 20_000, 10)) <= set(rows) and len(rows) < 2_000 + 0.12 * 18_000
+    assert all(w == str(n).encode() for n, w in rows.items())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and not re.search(r"Exchange hashpartitioning\(uid", plan)
+    # with fewer bits than nodes other texts stay, and no node is lost
+    assert set(range(0, 20_000, 10)) <= {r.node for r in omh._words_of(prints, nodes, most_bits=64).collect()}
+    assert omh._words_of(prints, nodes.limit(0)).count() == 0
+
+
+def test_tables_with_words_are_deleted(spark):
+    before = set(os.listdir(common.shared_dir(spark).removeprefix("file://")))
+    omh.near_duplicates(spark.createDataFrame(near_corpus(3), DOCS)).collect()
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(common.shared_dir(spark).removeprefix("file://"))) - before}
+    assert not left & {"omh-prints", "omh-nodes", "omh-words", "omh-buckets"}, left
+
+
+def test_within_equals_plain():
+    draw = random.Random(12)
+    for _ in range(1500):
+        letters = draw.choice([2, 4, 30])
+        a, b = (draw.choices(range(letters), k=draw.randint(0, 90)) for _ in range(2))
+        if draw.random() < 0.7:
+            b = list(a)
+            for _ in range(draw.randint(0, 30)):
+                at = draw.randrange(len(b) + 1)
+                b[at : at + draw.randint(0, 2)] = draw.choices(range(letters), k=draw.randint(0, 2))
+        most = draw.randint(0, 60)
+        assert omh.within(omh.masks_of(a), len(a), b, most) == (distance(a, b) <= most), (a, b, most)
+
+
+def test_blocks_count_common_words_of_all_pairs_at_once(monkeypatch):
+    """Texts with a common passage: no pair's words are held against each other, and the links are those of brute force."""
+    draw = random.Random(13)
+    passage = [draw.randrange(10**6) for _ in range(30)]
+    texts = []
+    for i in range(40):
+        own = passage + [draw.randrange(60) for _ in range(draw.randint(4, 20))]
+        texts += [own] + ([own[:-2] + [7, 8], own + [9]] if i % 5 == 0 else [])
+    texts.append([])
+    table = pa.table({"side": [2] * len(texts), "root": list(range(len(texts))), "words": [np.array(t, np.uint32).tobytes() for t in texts]})
+    pair = lambda *_: pytest.fail("a pair at a time")
+    monkeypatch.setattr(omh, "alike", pair)
+    for masked in (omh.MASKED, 0):
+        monkeypatch.setattr(omh, "MASKED", masked)
+        out = omh._blocks(0.8)(table)
+        brute = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if texts[i] and texts[j] and distance(texts[i], texts[j]) <= int(0.2 * max(len(texts[i]), len(texts[j])) + 1e-9)]
+        assert brute and classes_of(range(len(texts)), list(zip(out["ra"].to_pylist(), out["rb"].to_pylist(), strict=True))) == classes_of(range(len(texts)), brute)
+
+
 def infix(item, text):
     """Fewest edits of item to any part of text."""
     row = [0] * (len(text) + 1)

@@ -2,7 +2,7 @@
 
 * a folder that driver and executors share, and tables written there to cut lineage;
 * Arrow text columns as numpy bytes, processed in slices of bounded size;
-* connected components over links that never leave the cluster.
+* connected components over links, which do not leave the cluster if they are many.
 """
 
 from __future__ import annotations
@@ -274,10 +274,32 @@ def attached(df: DataFrame, key: list[str], spot: str, table: DataFrame) -> Data
 # ---------------------------------------------------------------- components
 
 
-def components(links: DataFrame, label: str) -> DataFrame:
+#: Links that the driver joins itself (16 bytes each); more stay in the cluster.
+FEW_LINKS = 1 << 15
+
+
+def joined(edges: DataFrame) -> DataFrame:
+    """components() of edges(hi, lo) on the driver, as rows (hi, lo): the node and its root."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    table = edges.select("hi", "lo").toArrow()
+    for a, b in zip(table["hi"].to_pylist(), table["lo"].to_pylist(), strict=True):
+        a, b = top(a), top(b)
+        parent[max(a, b)] = min(a, b)
+    found = [(x, top(x)) for x in parent]
+    found = [(x, root) for x, root in found if x != root]
+    return edges.sparkSession.createDataFrame(pa.table({"hi": pa.array([x for x, _ in found], pa.int64()), "lo": pa.array([x for _, x in found], pa.int64())}))
+
+
+def components(links: DataFrame, label: str, few: int = FEW_LINKS) -> DataFrame:
     """Columns node and root (the least node of its component) for the nodes of links(a, b) that are not roots themselves.
 
-    Alternating large-star and small-star rounds: each gives every node the least of its neighbours, by beside(),
+    Up to `few` links are joined on the driver. Beyond, alternating large-star and small-star rounds: each gives every node the least of its neighbours, by beside(),
     so that a node with very many links is in many tasks. Every round is
     written to the shared folder, with a checksum taken on the way that tells when nothing changes.
     """
@@ -288,6 +310,10 @@ def components(links: DataFrame, label: str) -> DataFrame:
         return done, (seen.get["n"], seen.get["x"])
 
     edges, before = put(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links")
+    if 0 < before[0] <= few:
+        old, edges = edges, stored(joined(edges), f"{label}-few")
+        discard(old)
+        before = (0, 0)
     while before[0]:
         both = edges.select(F.explode(F.array(F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")), F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")))).alias("e")).select("e.*")
         large = beside(both, ["u"], "v", "v > u", m=(F.min, "v")).select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")).distinct()

@@ -14,7 +14,7 @@ leaves it; components are found, and buckets that lie within one component are d
 a bucket's largest component are compared with all others of the bucket whose length allows it, in pairs of blocks of bounded
 size, inside tasks that return one link for each merge. No bucket has a cap, no pair of different
 components in a bucket is left out. Rows of one bucket, leader or class are dealt over many tasks wherever they are joined, and a leader's
-words go once to each of its parts.
+words go once to each of its parts. Words of texts that share no bucket are not shuffled.
 
 Defined cases: a null or empty text is a class of its own row's doc_id; a text without words is a
 copy of equal texts only; texts shorter than five words have one k-mer; very long texts are read whole; of equal ids and texts that tie for a class's
@@ -39,6 +39,8 @@ from .common import GOLDEN, PARTS, as_text, attached, beside, components, discar
 K, SIMILARITY, SKETCHES, PICKS, ROUNDS = 5, 0.8, 40, 2, 2
 #: Texts, and words of texts, in one side of a pair of blocks.
 BLOCK, BLOCK_WORDS = 1024, 2_000_000
+#: Bits, in cells of 64 that every executor gets, that tell texts in shared buckets from the others.
+MOST_BITS = 1 << 26
 
 
 def sketch(labels: np.ndarray, kmers: np.ndarray, odd: np.ndarray, picks: int) -> np.ndarray:
@@ -154,6 +156,41 @@ def banded(a: list, b: list, most: int) -> int:
     return min(now, most + 1)
 
 
+#: Words of a text whose masks are kept for many alignments.
+MASKED = 4096
+
+
+def masks_of(words: list) -> dict:
+    """Where each symbol stands, as bits of one number."""
+    masks: dict = {}
+    for i, x in enumerate(words):
+        masks[x] = masks.get(x, 0) | 1 << i
+    return masks
+
+
+def within(masks: dict, n: int, b: list, most: int) -> bool:
+    """Whether a sequence of n symbols, given by its masks, is `most` edits or fewer from b, by bit vectors of the differences in whole columns."""
+    if not n:
+        return len(b) <= most
+    full, last = (1 << n) - 1, 1 << n - 1
+    up, down, now, left = full, 0, n, len(b)
+    for x in b:
+        same = masks.get(x, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right, fall = down | (full & ~(diagonal | up)), diagonal & up
+        left -= 1
+        if right & last:
+            now += 1
+        elif fall & last:
+            now -= 1
+        # a column takes one edit away at most
+        if now - left > most:
+            return False
+        right = right << 1 | 1
+        up, down = (fall << 1 | ~(diagonal | right)) & full, diagonal & right & full
+    return now <= most
+
+
 #: Words in the runs that the lemma counts.
 PAIR = 2
 
@@ -267,6 +304,33 @@ def _verify(least: float):
     return run
 
 
+class _Holders:
+    """Labels of many texts, each with the texts that have it: tells at once how many labels a text shares with each of them."""
+
+    def __init__(self, labels: list[np.ndarray]):
+        flat = np.concatenate(labels)
+        order = np.argsort(flat, kind="stable")
+        self.texts = len(labels)
+        self.holder = np.repeat(np.arange(self.texts), [len(x) for x in labels])[order]
+        self.labels, starts = np.unique(flat[order], return_index=True)
+        self.starts = np.append(starts, len(flat))
+
+    def shared(self, own: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.texts, np.int64)
+        if not len(self.labels):
+            return out
+        at = np.searchsorted(self.labels, own)
+        at[at == len(self.labels)] = 0
+        at = at[self.labels[at] == own]
+        many = self.starts[at + 1] - self.starts[at]
+        # a bounded number of places at a time
+        for cut in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(many) >> 20)) + 1):
+            n = many[cut]
+            spots = np.repeat(self.starts[at[cut]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out += np.bincount(self.holder[spots], minlength=self.texts)
+        return out
+
+
 def _blocks(least: float):
     """Links between members of different components in one pair of blocks, one for each merge."""
 
@@ -283,37 +347,30 @@ def _blocks(least: float):
                     parent[r] = r = parent[parent[r]]
                 return r
 
-            texts, bags = [_words(p) for p in packed], {}
-
-            def bag(i):
-                if i not in bags:
-                    bags[i] = sorted_labels(texts[i][0].astype(np.uint64))
-                return bags[i]
-
-            # pairs of words of all texts on the right, each with the texts that have it: counts what a text on the left shares with all at once
+            texts = [_words(p) for p in packed]
             sizes = np.array([len(texts[j][0]) for j in right])
-            flat = np.concatenate([texts[j][1] for j in right])
-            order = np.argsort(flat, kind="stable")
-            holder = np.repeat(np.arange(len(right)), [len(texts[j][1]) for j in right])[order]
-            labels, starts = np.unique(flat[order], return_index=True)
-            starts = np.append(starts, len(flat))
+            pairs, bags = _Holders([texts[j][1] for j in right]), None
             for i in left:
                 words, own = texts[i]
-                at = np.searchsorted(labels, own)
-                at[at == len(labels)] = 0
-                at = at[labels[at] == own]
-                many = starts[at + 1] - starts[at]
-                both = np.zeros(len(right), np.int64)
-                # a bounded number of places at a time
-                for cut in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(many) >> 20)) + 1):
-                    n = many[cut]
-                    spots = np.repeat(starts[at[cut]] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    both += np.bincount(holder[spots], minlength=len(right))
-                near = np.flatnonzero(possible(len(words), sizes, both, least))
-                for j in (right[n] for n in near[np.argsort(-both[near], kind="stable")]):
-                    if top(root[i]) != top(root[j]) and alike(bag(i), bag(j), least) and linked(words, texts[j][0], least):
-                        parent[top(root[i])] = top(root[j])
-                        found.append((root[i], root[j]))
+                near = possible(len(words), sizes, both := pairs.shared(own), least)
+                if not near.any():
+                    continue
+                bags = bags or _Holders([sorted_labels(texts[j][0].astype(np.uint64)) for j in right])
+                longer = np.maximum(len(words), sizes)
+                most = edits_of(longer, least)
+                near = np.flatnonzero(near & (bags.shared(sorted_labels(words.astype(np.uint64))) >= longer - most))
+                masks = None
+                for n in near[np.argsort(-both[near], kind="stable")]:
+                    j = right[n]
+                    if top(root[i]) != top(root[j]):
+                        if len(words) <= MASKED:
+                            masks = masks or masks_of(words.tolist())
+                            link = within(masks, len(words), texts[j][0].tolist(), int(most[n]))
+                        else:
+                            link = linked(words, texts[j][0], least)
+                        if link:
+                            parent[top(root[i])] = top(root[j])
+                            found.append((root[i], root[j]))
         return pa.table({"ra": pa.array([a for a, _ in found], pa.int64()), "rb": pa.array([b for _, b in found], pa.int64())})
 
     return run
@@ -339,7 +396,11 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     rows = stored(rows.join(shared, "bucket").select("bucket", "node", "length", F.col("node").alias("root")), "omh-buckets")
     nodes = stored(rows.select("node").distinct().withColumn("root", F.col("node")), "omh-roots")
-    words = stored(prints.select(F.col("uid").alias("node"), "words").join(nodes.select("node"), "node", "left_semi"), "omh-words")
+    words = stored(_words_of(prints, nodes), "omh-words")
+    # the rest needs neither texts nor sketches
+    names = stored(ids.select("uid", "rep"), "omh-names")
+    owners = stored(prints.select("uid", "doc_id", "text_key"), "omh-owners")
+    discard(prints, ids)
 
     for r in range(rounds + 1):
         # a bucket within one component is done, and so is a leader that all others of its bucket were compared with
@@ -370,14 +431,28 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     discard(words, rows)
 
     roots = nodes.select(F.col("node").alias("rep"), "root")
-    grouped = ids.select("uid", "rep").join(roots, "rep", "left").select("uid", F.coalesce("root", "rep").alias("root"))
-    whole = prints.select("uid", "doc_id", "text_key").join(grouped, "uid", "left")
+    grouped = names.join(roots, "rep", "left").select("uid", F.coalesce("root", "rep").alias("root"))
+    whole = owners.join(grouped, "uid", "left")
     whole = whole.withColumn("root", F.coalesce("root", F.col("uid")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("class_id"), F.col("text_key").alias("kept_key"))
     found = beside(whole, ["root"], "uid", first=(F.min, order), class_size=(F.count, F.lit(1), F.sum))
     return found.select("doc_id", "text_key", "first.class_id", "first.kept_key", "class_size")
 
 
+def _words_of(prints: DataFrame, nodes: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """node and words of all nodes, and of a few other texts whose hash falls on a marked bit. No text is shuffled.
+
+    There are 16 to 32 bits for each node and `most_bits` in all: beyond that, more of the other texts stay, and no node is lost.
+    """
+    bits = min(1 << (16 * nodes.count()).bit_length(), most_bits)
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    cell = lambda c: F.shiftright(bit(c), 6)
+    place = lambda c: (bit(c) % 64).cast("int")
+    marked = nodes.groupBy(cell("node").alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place("node"))).alias("marks"))
+    met = prints.select(F.col("uid").alias("node"), "words", cell("uid").alias("cell")).join(F.broadcast(marked), "cell")
+    return met.where(F.getbit("marks", place("node")) == 1).select("node", "words")
+
+
 def _renamed(rows: DataFrame, tops: DataFrame) -> DataFrame:
     """Rows with the tops of their roots; a root's rows are in many tasks."""
     part = F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")
