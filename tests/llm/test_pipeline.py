@@ -1,5 +1,6 @@
 """The pipeline, stage by stage, against what each stage must do by hand."""
 
+import os
 import random
 import re
 
@@ -12,7 +13,7 @@ from tests.llm.test_archives import brute_targets
 from tests.llm.test_learned import SYLLABLES, prose
 from tests.llm.test_matching import brute_classes, plain
 from tidemark.llm import language_mixture
-from tidemark.llm.common import stored
+from tidemark.llm.common import shared_dir, stored
 
 SECRET = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"
 
@@ -136,3 +137,14 @@ def test_documents_in_three_languages_stay(spark, folder):
     found = language_mixture.detect(docs, language_mixture.fit(docs)).where("doc_id = 9001").first().language
     assert found.score < 0.5 and len(found.languages) == 3
     assert {r.doc_id for r in pipeline.language_id(spark, docs, "").where("doc_id > 9000").collect()} == {9001}
+
+
+def test_near_dedup_keeps_no_words_on_disk(spark, folder):
+    """Of the tables of the duplicate search, what holds words or sketches is deleted when the stage is planned."""
+    path, _, _ = folder
+    shared = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(shared))
+    kept = pipeline.near_dedup(spark, spark.read.parquet(f"{path}/documents.parquet"), path)
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(shared)) - before}
+    assert "omh-classes" in left and not left & {"omh-prints", "omh-nodes", "omh-words", "omh-buckets"}, left
+    assert kept.count() > 0
