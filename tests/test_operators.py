@@ -136,6 +136,21 @@ def test_stratified_and_local_limit(spark):
     assert sampling.ratio_sample(df, {"0": 1.0}, "partition").count() == df.where("partition = '0'").count()
 
 
+def test_large_bernoulli_sample_gathers_nothing(spark):
+    """The rows of a limit, dealt over the tasks they come from, also below a union and a coalesce; a sample below n is whole."""
+    df = spark.range(5000).select(F.col("id").cast("string").alias("key"), F.lit(None).cast("string").alias("note")).repartition(8, "key")
+    for n, rows in ((2000, 2000), (5000, 5000), (4999, 4999), (6000, 5000)):
+        got = sampling.bernoulli_sample(df, n, 5000, seed=1, gathered=100)
+        assert got.count() == rows == got.select("key").distinct().count() and got.columns == df.columns
+        assert df.unionByName(got).coalesce(3).count() == 5000 + rows
+    got = sampling.bernoulli_sample(df, 2000, 5000, seed=1, gathered=100)
+    assert got.groupBy(F.spark_partition_id()).count().count() > 4
+    assert "Limit" not in got._jdf.queryExecution().executedPlan().toString()
+    short = sampling.bernoulli_sample(df, 2000, 5000, seed=1, margin=0.5, gathered=100)
+    assert short.count() == df.sample(0.2, 1).count() < 2000
+    assert sampling.bernoulli_sample(df.limit(0), 2000, 5000, gathered=100).count() == 0
+
+
 def test_rewrite_payload(spark):
     df = spark.createDataFrame([("k", "p", 0, 1, "t", 5, 0.5, 7, "keep")], "key string, partition string, round int, ts long, textField10 string, longField15 long, decimalField6 float, intField19 int, other string")
     one, two = (shape.rewrite_payload(df, 3, 99, 1).first() for _ in range(2))

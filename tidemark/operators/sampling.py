@@ -72,9 +72,53 @@ def ratio_sample(df: DataFrame, fractions: Mapping[str, float], stratum: str, se
     return df.sampleBy(stratum, dict(fractions), seed)
 
 
-def bernoulli_sample(df: DataFrame, n: int, total: int, seed: int = 0, margin: float = 1.1) -> DataFrame:
-    """About n of total rows: a Bernoulli sample of a little more, then a limit."""
-    return df.sample(min(1.0, margin * n / total), seed).limit(n) if total else df.limit(0)
+def bernoulli_sample(df: DataFrame, n: int, total: int, seed: int = 0, margin: float = 1.1, gathered: int | None = None) -> DataFrame:
+    """About n of total rows: a Bernoulli sample of a little more, then a limit.
+
+    A limit of more than `gathered` rows (GATHERED by default) reads the sample twice and gathers nothing: its partitions are counted, then each gives its rows until n are reached.
+    """
+    if not total:
+        return df.limit(0)
+    sample = df.sample(min(1.0, margin * n / total), seed)
+    return sample.limit(n) if n <= (GATHERED if gathered is None else gathered) else _first(sample, n)
+
+
+def _first(df: DataFrame, n: int) -> DataFrame:
+    """n rows, or all if there are fewer: those of the first partitions. A count a partition reaches the driver.
+
+    Never more than n, even if partitions come out differently when they are read again.
+    """
+    part = "__part"
+    # the number of the partition in this frame; a task's own number is another one below a union
+    marked = df.withColumn(part, F.spark_partition_id())
+
+    def count(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pydict({part: pa.array([batch.column(part)[0].as_py()], pa.int32()), "rows": pa.array([batch.num_rows], pa.int64())})
+
+    # counted over all columns, as they are read again, so that adaptive execution makes the same partitions of them
+    counts = {r[part]: r["n"] for r in marked.mapInArrow(count, f"{part} int, rows long").groupBy(part).agg(F.sum("rows").alias("n")).collect()}
+    quotas, left = {}, n
+    for p in sorted(counts):
+        quotas[p] = min(counts[p], left)
+        left -= quotas[p]
+
+    def cut(batches):
+        open_rows = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if open_rows is None:
+                open_rows = quotas.get(batch.column(part)[0].as_py(), 0)
+            if open_rows <= 0:
+                return
+            out = batch.slice(0, min(open_rows, batch.num_rows))
+            open_rows -= out.num_rows
+            yield out.select(df_columns)
+
+    df_columns = df.columns
+    return marked.mapInArrow(cut, df.schema)
 
 
 def local_limit(df: DataFrame, n: int, parts: int) -> DataFrame:
