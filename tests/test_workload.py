@@ -244,6 +244,44 @@ def test_concurrent_commits(spark, tmp_path):
         put(t.manifest())
 
 
+@pytest.mark.parametrize("merge_on_read", [False, True])
+def test_compaction_splits_large_partitions(spark, tmp_path, merge_on_read):
+    """No task packs a whole partition: it takes as many tasks, and files, as its bytes need; small ones share a task, and no row is lost."""
+    made = spark.range(40_000).select(F.col("id").cast("int").alias("key"), F.when(F.col("id") < 39_000, "large").when(F.col("id") < 39_500, "").when(F.col("id") < 39_900, "small").alias("partition"), F.pmod(F.xxhash64("id"), F.lit(1_000_000_007)).cast("int").alias("v"))
+    t = SnapshotTable(spark, str(tmp_path / "t"))
+    t.create(made.repartition(4), partition_by="partition", merge_on_read=merge_on_read)
+    if merge_on_read:
+        t.merge(made.withColumn("v", F.lit(0)).where("key % 2 = 0"), MergeSpec(("key", "partition")))
+    else:
+        t.append(made.repartition(4))
+    before, large = rows(t.read().groupBy("partition").agg(F.count("*"), F.sum("key"), F.sum("v"))), [f for f in t.manifest().files if f.partition == "large"]
+    target = sum(f.bytes for f in large) // 5
+    assert t.compact(target * 10, target)
+    after = t.manifest().files
+    assert rows(t.read().groupBy("partition").agg(F.count("*"), F.sum("key"), F.sum("v"))) == before
+    packed = [f.bytes for f in after if f.partition == "large"]
+    assert len(packed) >= 4 and max(packed) < 2 * target
+    assert all(len([f for f in after if f.partition == p]) == 1 for p in ("small", None))
+
+
+def test_writes_sort_nothing(spark, tmp_path):
+    """Rows of a few partitions are written as they come: a task's memory doesn't grow with its rows. With many partitions they are sorted, and all are there."""
+    made, sc = spark.range(20_000).select(F.col("id").cast("int").alias("key"), (F.col("id") % 3).cast("string").alias("partition"), F.lit(1).alias("v")), spark.sparkContext
+    own, peaks = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"), []
+    for name, df in (("few", made), ("many", made.withColumn("partition", (F.col("key") % 40).cast("string")))):
+        sc.setJobGroup(name, name)
+        try:
+            t = SnapshotTable(spark, str(tmp_path / name))
+            t.create(df, partition_by="partition")
+        finally:
+            sc._jsc.clearJobGroup()
+        store, tracker = sc._jsc.sc().statusStore(), sc.statusTracker()
+        peaks.append(max(store.lastStageAttempt(s).peakExecutionMemory() for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds))
+        assert rows(t.read()) == rows(df) and len({f.partition for f in t.manifest().files}) == df.select("partition").distinct().count()
+    assert peaks[0] == 0
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == own
+
+
 def test_stream(spark, tmp_path, workload):
     t = SnapshotTable(spark, str(tmp_path / "t"))
     single = tmp_path / "rounds"

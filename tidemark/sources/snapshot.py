@@ -14,8 +14,11 @@ deltas into base files and packs small files; it commits on top of writes that c
 from __future__ import annotations
 
 import json
+import threading
 import uuid
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +32,33 @@ MANIFESTS, DATA = "_manifests", "data"
 MARK = "__in_partition"
 
 
+#: A task that writes rows of so many partitions or fewer keeps a file of each open and sorts nothing; rows of further partitions are sorted, and spilled if need be.
+OPEN_FILES = 16
+_OPEN = "spark.sql.maxConcurrentOutputFileWriters"
+_lock, _writing = threading.Lock(), Counter()
+
+
+@contextmanager
+def _open_files(session: SparkSession) -> Iterator[None]:
+    """Sets OPEN_FILES for the writes within, of any thread, unless the session has a number of its own; the last one to end takes it back."""
+    me = session._jsparkSession.sessionUUID()
+    with _lock:
+        if not _writing[me] and int(session.conf.get(_OPEN)) > 0:
+            me = None
+        else:
+            session.conf.set(_OPEN, OPEN_FILES)
+            _writing[me] += 1
+    try:
+        yield
+    finally:
+        if me:
+            with _lock:
+                _writing[me] -= 1
+                if not _writing[me]:
+                    del _writing[me]
+                    session.conf.unset(_OPEN)
+
+
 class CommitConflict(RuntimeError):
     """Another writer made this version first."""
 
@@ -130,8 +160,11 @@ class SnapshotTable:
             df = df.withColumn(MARK, F.col(partition_by).cast("string"))
         if cluster_by:
             df = df.sortWithinPartitions(*([MARK] if partition_by else []), *cluster_by)
-        writer = df.write.partitionBy(MARK) if partition_by else df.write
-        writer.parquet(f"{self.path}/{folder}")
+        if partition_by and not cluster_by:
+            with _open_files(df.sparkSession):
+                df.write.partitionBy(MARK).parquet(f"{self.path}/{folder}")
+        else:
+            (df.write.partitionBy(MARK) if partition_by else df.write).parquet(f"{self.path}/{folder}")
         out = []
         for name, size in self.files.tree(folder):
             if name.endswith(".parquet"):
@@ -259,8 +292,11 @@ class SnapshotTable:
             return False
         size = sum(f.bytes for f in old) + sum(f.bytes for d in seen.deltas for f in d.files)
         packed = self._apply(seen, self._frame(seen, old), seen.deltas)
-        pieces = max(1, -(-size // target_file_size))
-        packed = packed.repartition(pieces, *([seen.partition_by] if seen.partition_by else [])) if pieces > 1 or seen.partition_by else packed.coalesce(1)
+        if seen.partition_by:
+            packed = self._dealt(packed, seen.partition_by, [*old, *(f for d in seen.deltas for f in d.files)], target_file_size)
+        else:
+            pieces = max(1, -(-size // target_file_size))
+            packed = packed.repartition(pieces) if pieces > 1 else packed.coalesce(1)
         new = self._write(packed, seen.partition_by, seen.cluster_by)
         gone = {f.path for f in old}
         folded = {d.version for d in seen.deltas}
@@ -274,6 +310,32 @@ class SnapshotTable:
 
         return self._commit(None, change)
 
+    def _dealt(self, df: DataFrame, by: str, files: Sequence[DataFile], target: int) -> DataFrame:
+        """Rows dealt over tasks of about `target` bytes of the files they come from: a large partition takes several tasks, small ones share one.
+
+        A partition's tasks get a target each or more, so that their files are not packed again.
+        """
+        sizes: dict[str | None, int] = {}
+        for f in files:
+            sizes[f.partition] = sizes.get(f.partition, 0) + f.bytes
+        places, tasks, room = [], 0, 0
+        for value, size in sizes.items():
+            if size > room:
+                own = max(1, size // target)
+                places.append((value, tasks, own))
+                tasks, room = tasks + own, max(0, target - size)
+            else:
+                places.append((value, tasks - 1, 1))
+                room -= size
+        where = F.broadcast(self.spark.createDataFrame(places, "__value string, __first int, __own int"))
+        name = F.col(by).cast("string")
+        # an empty name's folder is that of NULL
+        found = df.join(where, F.when(name != "", name).eqNullSafe(F.col("__value")), "left")
+        # maps and variants have no hash
+        hashed = [f.name for f in df.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+        task = F.coalesce(F.col("__first") + F.pmod(F.xxhash64(*hashed), F.col("__own")), F.lit(0)).cast("int")
+        return found.repartitionById(max(1, tasks), task).select(*df.columns)
+
     def vacuum(self, keep_versions: int = 1) -> list[str]:
         """Deletes manifests but the newest, then files that none of the kept lists. Not while others read or write."""
         versions = self.versions()
